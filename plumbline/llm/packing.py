@@ -26,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.compare import word_count
 from plumbline.llm.hashing import by_value, hash_number
+from plumbline.llm.words import word_count
 
 SHARD = 4000
 CLASSES = 1000

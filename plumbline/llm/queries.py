@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.compare import bits64, category, digest, key_text
 from plumbline.llm import chunkstore, group_splits, mixing, nested_sample, packing, quota_sample, split_overlap, subjects, top_items
 from plumbline.llm.picture_names import picture_name_udf
+from plumbline.llm.words import word_count
 from plumbline.session import Workspace
 from plumbline.sources.tables import table
 
@@ -207,7 +208,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Workspace]:
     ws = Workspace(spark, "p8")
     documents = table(spark, d, "documents", "doc_id", "source", "text")
-    sizes = documents.select("doc_id", category("source").alias("source"), packing.word_count("text").alias("size")).where("doc_id is not null and source is not null and size > 0")
+    sizes = documents.select("doc_id", category("source").alias("source"), word_count("text").alias("size")).where("doc_id is not null and source is not null and size > 0")
     items = ws.put(sizes.groupBy("doc_id").agg(F.max_by(F.struct("source", "size"), F.struct("size", "source")).alias("x")).select("doc_id", "x.*"), "sizes")
     targets = table(spark, d, "mix_targets").join(table(spark, d, "mixtures").withColumnRenamed("budget_words", "budget"), "mixture_id").withColumn("source", category("source"))
     return items, ws.put(mixing.plan(items, targets), "plan"), ws
@@ -220,8 +221,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that cannot give what the mixture wants of them."""
-    return p8_shares(spark, d).where("short").select("mixture_id", "source")
+    """Sources that cannot give what the mixture wants: short by plan, and drawn to the last copy of every document."""
+    return p8_shares(spark, d).where("short and taken = max_repeats * available").select("mixture_id", "source")
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -35,20 +35,30 @@ from pyspark.sql import functions as F
 from plumbline.llm.hashing import by_value
 from plumbline.session import Workspace
 
-PURITY, SUPPORT, EVIDENCE, ROUNDS = 0.75, 2, 2, 4
+PURITY, SUPPORT, EVIDENCE, ROUNDS, SETTLED = 0.75, 2, 2, 5, 0.002
 
 _UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿœ"
-#: Titles of reports ("Arn. L.J.", "ZfVR") and what only citations have: years in brackets, volume and page, dockets.
-_REPORT = re.compile(rf"(?:[{_UPPER}][{_UPPER}{_LOWER}]*\.\s?){{2,}}(?=[\s\d,;)\[]|$)|\b[{_UPPER}][{_LOWER}]+[{_UPPER}]{{2,}}\b")
-_CITED = re.compile(rf"@@|\[(?:19|20)\d\d\]|\((?:19|20)\d\d\)\s*\d|\b\d+, \d+\b|\b\d+\s+[{_UPPER}][{_UPPER}{_LOWER}]*\s+\d+/\d\d")
+#: What only citations have: years in brackets, volume or year and page, dockets; and titles of reports ("Arn. L.J.", "ZfVR").
+_CITED = re.compile(rf"[\[(](?:19|20)\d\d(?:\]|\)\s*\d)|\d, \d|\d\s+[{_UPPER}][{_UPPER}{_LOWER}]*\s+\d+/\d\d|@@")
+_REPORT = re.compile(rf"\b(?:[{_UPPER}][{_UPPER}{_LOWER}]*\.\s?){{2,}}(?=[\s\d,;)\[]|$)|\b[{_UPPER}][{_LOWER}]+[{_UPPER}]{{2,}}\b")
 _BRACKETS = re.compile(r"\((?:[^()]|\([^()]*\))*\)")
 _SENTENCE = re.compile(rf"(?<=[{_LOWER}\d)\]>][{_LOWER}\d)\]>][.!?])\s+(?=[{_UPPER}§\[(])")
 _LINES = re.compile(r"[\r\n\x0c]+")
 _PARTIES = re.compile(r"\s(?:v|vs|c|versus|gegen|contre)\.?\s")
-_WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]+")
 _FAULT = re.compile(r"[\xc2\xc3][\x80-\xbf]")
-#: Hyphens, spaces and apostrophes that stand for the plain ones; soft hyphens vanish.
-_PLAIN = [(chr(0x2011), "-"), (chr(0x2010), "-"), (chr(0xAD), ""), (chr(0xA0), " "), (chr(0x202F), " "), (chr(0x2019), "'")]
+#: Hyphens, spaces, dashes and apostrophes that stand for the plain ones; soft hyphens vanish.
+_PLAIN = [(chr(0x2011), "-"), (chr(0x2010), "-"), (chr(0x2013), "-"), (chr(0x2588), "-"), (chr(0xAD), ""), (chr(0xA0), " "), (chr(0x202F), " "), (chr(0x2019), "'")]
+_LETTERS = bytes(i if chr(i).isalpha() else 32 for i in range(256))
+
+
+def letter_runs(text: str) -> set[str]:
+    """Maximal runs of letters. Latin-1 texts take a table instead of a regular expression."""
+    try:
+        runs = text.encode("latin-1").translate(_LETTERS).split()
+    except UnicodeEncodeError:
+        return set(_WORD.findall(text))
+    return {run.decode("latin-1") for run in set(runs)}
 
 
 def own_words(text: str | None) -> set[str]:
@@ -59,7 +69,6 @@ def own_words(text: str | None) -> set[str]:
         text = text.replace(odd, plain)
     if _FAULT.search(text):  # UTF-8 that was read as Latin-1
         text = _FAULT.sub(lambda m: m.group().encode("latin-1").decode("utf-8", "ignore"), text)
-    text = _REPORT.sub("@@", text)
     kept = []
     for line in _LINES.split(text):
         if len(line) < 100 and _PARTIES.search(line):
@@ -67,14 +76,14 @@ def own_words(text: str | None) -> set[str]:
         if not _CITED.search(line):
             kept.append(line)
             continue
-        for sentence in _SENTENCE.split(line):
+        for sentence in _SENTENCE.split(_REPORT.sub("@@", line)):
             if _CITED.search(sentence):
                 first, *rest = _BRACKETS.sub(lambda m: " " if _CITED.search(m.group()) else m.group(), sentence).split(";")
                 if _CITED.search(first):
                     continue
                 sentence = " ".join([first, *(x for x in rest if not _CITED.search(x))])
             kept.append(sentence)
-    return set(_WORD.findall(" ".join(kept).lower()))
+    return letter_runs(" ".join(kept).lower())
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +111,7 @@ def evidence(words: DataFrame, verified: DataFrame) -> DataFrame:
     return words.select("doc_id", F.explode("words").alias("word")).join(verified, "word").groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
 
 
-def propagate(documents: DataFrame, labels: DataFrame, workspace: Workspace, rounds: int = ROUNDS) -> DataFrame:
+def propagate(documents: DataFrame, labels: DataFrame, workspace: Workspace, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """(doc_id, subject): the subjects of each document, after at most ``rounds`` rounds.
 
     ``labels``: distinct (doc_id, subject), normalised.
@@ -110,15 +119,21 @@ def propagate(documents: DataFrame, labels: DataFrame, workspace: Workspace, rou
     words = workspace.put(document_words(documents), "words")
     given = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     seeds = workspace.put(words.join(given, "doc_id"), "seeds")
-    labelled, before, current = seeds, None, None
+    labelled = seeds
+    before: DataFrame | None = None
+    current: DataFrame | None = None
     for i in range(rounds):
         verified = workspace.put(verified_words(labelled), f"verified-{i}")
         found = evidence(words, verified).where(F.col("n") >= EVIDENCE)
         current = workspace.put(found.select("doc_id", "subject"), f"labels-{i}")
-        now = current.agg(F.count("*"), F.sum(F.hash("doc_id", "subject").cast("bigint"))).first()
-        if now == before or i == rounds - 1:
+        if i == rounds - 1:
             break
-        before = now
+        if before is not None:
+            both = current.join(before, ["doc_id", "subject"]).count()
+            size = current.count()
+            if size + before.count() - 2 * both <= settled * size:
+                break
+        before = current
         taken = current.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
         spoken = taken.withColumnRenamed("subjects", "spoken")
         # A seed is clamped unless its own words speak for other subjects alone.
