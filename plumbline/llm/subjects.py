@@ -11,7 +11,9 @@ Each round sends the labels from documents to words and back. A document takes e
 subject that EVIDENCE different verified words bring (one verified word more would do for
 none, so a stray mention gives no subject), hence several or none. Trusted seeds are clamped:
 a label given by hand is trusted if the document's own words don't speak for other
-subjects alone (some labels are wrong), and it then counts in every round. Rounds end
+subjects alone (some labels are wrong), and it then counts in every round. In the result
+it stands, too, if one of the document's words is verified for it by other documents; a
+label for which no word speaks (of a procedural text, say) doesn't. Rounds end
 when the labels no longer change, or after ROUNDS.
 
 What a document says of a cited other case is no part of its dispute: sentences built
@@ -98,12 +100,12 @@ def document_words(documents: DataFrame) -> DataFrame:
 
 
 def verified_words(labelled: DataFrame, purity: float = PURITY, support: int = SUPPORT) -> DataFrame:
-    """(word, subject) that carry labels; ``labelled``: (doc_id, words, subjects ARRAY)."""
+    """(word, subject, n, uses) that carry labels; ``labelled``: (doc_id, words, subjects ARRAY)."""
     seen = labelled.select(F.explode("words").alias("word"), "subjects")
     subject = seen.select("word", F.explode_outer("subjects").alias("subject"))
     with_subject = subject.groupBy("word", "subject").agg(F.count("*").alias("n"))
     uses = seen.groupBy("word").agg(F.count("*").alias("uses")).where(F.col("uses") >= support)
-    return with_subject.where(F.col("n") >= support).join(uses, "word").where(F.col("n") >= F.col("uses") * purity).select("word", "subject")
+    return with_subject.where(F.col("n") >= support).join(uses, "word").where(F.col("n") >= F.col("uses") * purity).select("word", "subject", "n", "uses")
 
 
 def evidence(words: DataFrame, verified: DataFrame) -> DataFrame:
@@ -111,6 +113,13 @@ def evidence(words: DataFrame, verified: DataFrame) -> DataFrame:
     return words.select("doc_id", F.explode("words").alias("word")).join(verified, "word").groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
 
 
+def upheld(seeds: DataFrame, verified: DataFrame, purity: float = PURITY, support: int = SUPPORT) -> DataFrame:
+    """(doc_id, subject): given labels that a word speaks for even if the document itself is not counted among its users."""
+    others = verified.where((F.col("n") - 1 >= support) & (F.col("n") - 1 >= (F.col("uses") - 1) * purity)).select("word", "subject")
+    given = seeds.select("doc_id", "words", F.explode("subjects").alias("subject")).select("doc_id", "subject", F.explode("words").alias("word"))
+    return given.join(others, ["word", "subject"]).select("doc_id", "subject").distinct()
+
+
 def propagate(documents: DataFrame, labels: DataFrame, workspace: Workspace, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """(doc_id, subject): the subjects of each document, after at most ``rounds`` rounds.
 
@@ -141,7 +150,7 @@ def propagate(documents: DataFrame, labels: DataFrame, workspace: Workspace, rou
         clamped = trusted.select("doc_id", F.array_union("subjects", F.coalesce("spoken", F.array().cast("array<string>"))).alias("subjects"))
         free = taken.join(clamped.select("doc_id"), "doc_id", "left_anti")
         labelled = words.join(clamped.unionByName(free), "doc_id")
-    return current
+    return current.unionByName(upheld(seeds, verified)).distinct()
 
 
 by_value()

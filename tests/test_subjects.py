@@ -1,0 +1,18 @@
+"""Subjects of small made-up documents."""
+
+from plumbline.llm.subjects import propagate
+from plumbline.session import Workspace
+
+
+def test_trusted_seed_with_one_verified_word_stays(spark):
+    """Label 10 has one word that others verify, label 11 (procedural text) none."""
+    music = [(i, "cello encore") for i in range(1, 5)]
+    texts = [*music, (10, "cello"), (11, "appeal"), (12, "appeal"), (13, "appeal")]
+    labels = [(i, "music") for i in (1, 2, 3, 4, 10, 11)]
+    documents = spark.createDataFrame(texts, "doc_id bigint, text string")
+    given = spark.createDataFrame(labels, "doc_id bigint, subject string")
+    rows = propagate(documents, given, Workspace(spark, "t9")).collect()
+    found = {tuple(r) for r in rows}
+    assert len(rows) == len(found)
+    assert (10, "music") in found
+    assert not {d for d, _ in found} & {11, 12, 13}
