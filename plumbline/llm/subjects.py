@@ -73,7 +73,7 @@ def own_words(text: str | None) -> set[str]:
         text = _FAULT.sub(lambda m: m.group().encode("latin-1").decode("utf-8", "ignore"), text)
     kept = []
     for line in _LINES.split(text):
-        if len(line) < 100 and _PARTIES.search(line):
+        if len(line) < 100 and _PARTIES.search(line) and not _CITED.search(line):
             continue
         if not _CITED.search(line):
             kept.append(line)

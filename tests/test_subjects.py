@@ -1,6 +1,6 @@
 """Subjects of small made-up documents."""
 
-from plumbline.llm.subjects import propagate
+from plumbline.llm.subjects import own_words, propagate
 from plumbline.session import Workspace
 
 
@@ -16,3 +16,9 @@ def test_trusted_seed_with_one_verified_word_stays(spark):
     assert len(rows) == len(found)
     assert (10, "music") in found
     assert not {d for d, _ in found} & {11, 12, 13}
+
+
+def test_short_line_with_bracketed_citation_stays():
+    body = own_words("Für Aufzugsausfälle trägt die Beklagte das Risiko (Undtovpra gegen Galhul [2005] ZfVR 29, 220).")
+    assert "aufzugsausfälle" in body and "galhul" not in body
+    assert not own_words("Rasmor c. Morsel Software Ltd")
