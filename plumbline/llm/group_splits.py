@@ -36,17 +36,17 @@ def components(edges: DataFrame, workspace: Workspace, name: str = "components",
     one_way = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     own = one_way.select("a").distinct().select("a", F.col("a").alias("b"))
     clusters = workspace.put(one_way.unionByName(own).distinct(), f"{name}-0")
-    before = clusters.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
     for i in range(1, most_rounds + 1):
         low = clusters.groupBy("a").agg(F.min("b").alias("low"))
         members = clusters.join(low, "a")
         sent = members.select(F.col("low").alias("a"), "b").unionByName(members.select(F.col("b").alias("a"), F.col("low").alias("b")))
-        clusters = workspace.put(sent.distinct(), f"{name}-{i}")
+        before, clusters = clusters, workspace.put(sent.distinct(), f"{name}-{i}")
+        # Both rounds hold distinct rows: they are the same if every row occurs twice.
+        changed = before.unionByName(clusters).groupBy("a", "b").agg(F.count("*").alias("n")).where("n <> 2")
+        stable = not changed.limit(1).collect()
         workspace.drop(f"{name}-{i - 1}")
-        now = clusters.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
-        if now == before:
+        if stable:
             return clusters.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.col("low").alias("component"))
-        before = now
     raise RuntimeError(f"components not stable after {most_rounds} rounds")
 
 
@@ -81,39 +81,27 @@ def check_ratios(ratios: dict[str, float]) -> None:
         raise ValueError("ratios must be finite, not negative and add up to 1")
 
 
-def assign_splits(sizes: DataFrame, ratios: dict[str, float], seed: str, heavy_share: float = 0.01) -> DataFrame:
-    """(component, n, split).
+def assign_splits(sizes: DataFrame, ratios: dict[str, float], seed: str) -> DataFrame:
+    """(component, n, split), by weighted rendezvous hashing alone.
 
-    ``sizes`` holds (component, n records). Components with more than ``heavy_share`` of
-    all records, at most 1 / heavy_share of them, are placed first by rendezvous over
-    the splits that still have room for them; the weights for the rest are what the
-    ratios leave, so that one huge component does not push a split far off its ratio.
+    The split is an expression of the component's name, the ratios and the seed: nothing
+    is counted, so no later batch moves a component that it does not touch. ``sizes``
+    holds (component, n records).
     """
     check_ratios(ratios)
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    heavy = sizes.where(F.col("n") > F.lit(heavy_share * total)).collect()  # fewer than 1 / heavy_share rows
-    left = {s: r * total for s, r in ratios.items()}
-    placed: dict[str, str] = {}
-    for row in sorted(heavy, key=lambda r: (-r["n"], r["component"])):
-        fits = {s: left[s] for s in left if left[s] >= row["n"]} or {max(sorted(left), key=lambda s: left[s]): 1.0}
-        split = sizes.sparkSession.range(1).select(rendezvous(F.lit(row["component"]), fits, seed)).first()[0]
-        placed[row["component"]] = split
-        left[split] -= row["n"]
-    rest = {s: max(v, 0.0) for s, v in left.items()}
-    weights = {s: v / sum(rest.values()) for s, v in rest.items()} if sum(rest.values()) > 0 else dict(ratios)
-    split = rendezvous(F.col("component"), weights, seed)
-    for component, where in placed.items():
-        split = F.when(F.col("component") == component, F.lit(where)).otherwise(split)
-    return sizes.select("component", "n", split.alias("split"))
+    return sizes.select("component", "n", rendezvous(F.col("component"), ratios, seed).alias("split"))
 
 
 def torn_groups(assignments: DataFrame, membership: DataFrame, of_group: DataFrame) -> DataFrame:
     """(manifest, grp): groups whose records a manifest assigns to two or more splits.
 
-    Components with one split can have no torn group and are dropped first; the rest
-    are checked group by group. Everything is min and max, combined before the shuffle.
+    A component belongs to one split; components that a manifest gives two or more are
+    torn. The exact check then looks at the groups of torn components only. Everything
+    is min and max, combined before the shuffle.
     ``assignments``: distinct (manifest, key, split); ``membership``: distinct (key, grp).
     """
-    rows = assignments.join(membership, "key").join(of_group, "grp").groupBy("manifest", "component", "grp").agg(F.min("split").alias("low"), F.max("split").alias("high"))
-    mixed = rows.groupBy("manifest", "component").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("manifest", "component")
-    return rows.join(mixed, ["manifest", "component"]).where("low <> high").select("manifest", "grp")
+    component = membership.join(of_group, "grp").select("key", "component", "grp")
+    rows = assignments.join(component, "key")
+    torn = rows.groupBy("manifest", "component").agg(F.min("split").alias("least"), F.max("split").alias("most")).where("least <> most").select("manifest", "component")
+    groups = rows.join(torn, ["manifest", "component"], "left_semi").groupBy("manifest", "grp").agg(F.min("split").alias("low"), F.max("split").alias("high"))
+    return groups.where("low <> high").select("manifest", "grp")

@@ -2,9 +2,13 @@
 
 Every key belongs for ever to one of BUCKETS fine hash buckets. A fixed permutation
 orders the buckets, and a sample is a prefix of that order: a list of buckets to which
-later draws may only append. A record is chosen exactly if its bucket is listed, so
-neither reruns, row order, repeats and spellings nor new records can remove one that was
-chosen before, and larger samples contain smaller ones.
+later draws may only append (``BucketList`` stores it). A record is chosen exactly if
+its bucket is listed, so neither reruns, row order, repeats and spellings nor new records
+can remove one that was chosen before, and larger samples contain smaller ones.
+
+Samples that were drawn in other ways are audited along the same buckets: what a run
+chose is summed up per bucket, buckets on which all runs agree are settled without
+looking at a record, and the records of the others are compared one by one.
 
 Nulls: records with a null or blank key are never chosen. Repeated rows are one record.
 An empty table gives an empty sample.
@@ -12,7 +16,7 @@ An empty table gives an empty sample.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import hash_number
@@ -30,6 +34,11 @@ def place(bucket_id: Column) -> Column:
     return F.pmod(bucket_id * STRIDE + OFFSET, F.lit(BUCKETS)).cast("bigint")
 
 
+def bucket_at(place_no: Column) -> Column:
+    """The bucket at a place of the fixed order."""
+    return F.pmod((place_no - OFFSET) * pow(STRIDE, -1, BUCKETS), F.lit(BUCKETS)).cast("bigint")
+
+
 def listed(share: float, before: int = 0) -> int:
     """How many buckets a draw of ``share`` lists, never fewer than an earlier draw listed."""
     if not 0 <= share <= 1:
@@ -37,6 +46,35 @@ def listed(share: float, before: int = 0) -> int:
     return max(before, round(share * BUCKETS))
 
 
+class BucketList:
+    """The stored list of buckets, a Parquet folder of (place, bucket) to which rows are only ever added."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _exists(self) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def rows(self) -> DataFrame:
+        if not self._exists():
+            return self.spark.createDataFrame([], "place bigint, bucket bigint")
+        return self.spark.read.schema("place bigint, bucket bigint").parquet(self.path).distinct()
+
+    def upto(self) -> int:
+        """How many buckets are listed."""
+        return self.rows().agg(F.coalesce(F.max("place") + 1, F.lit(0))).first()[0]
+
+    def extend(self, upto: int) -> int:
+        """Lists the buckets of the places below ``upto`` that are not listed yet; never takes one off."""
+        before = self.upto()
+        upto = min(upto, BUCKETS)
+        if upto > before:
+            places = self.spark.range(before, upto, numPartitions=1).select(F.col("id").alias("place"))
+            places.withColumn("bucket", bucket_at(F.col("place"))).write.mode("append").parquet(self.path)
+        return max(before, upto)
+
+
 def nested_sample(records: DataFrame, buckets: int, seed: str) -> DataFrame:
     """(record_kind, record_key, bucket_place) of the records in the first ``buckets`` listed buckets.
 
@@ -64,14 +102,21 @@ def size_for(records: DataFrame, wanted: int, seed: str, before: int = 0) -> int
 def unstable_records(draws: DataFrame, seed: str) -> DataFrame:
     """(record_kind, record_key) that a run chose and a run of the same or a higher draw lacks.
 
-    A record's runs are gathered under its bucket; with ``low`` the lowest draw that
-    chose it, it is stable exactly if all runs of draws from ``low`` up have it. Only
-    counts move, two-phase, whatever share of the rows a kind or bucket holds.
+    Each run's choice is summed up per bucket: a count and two order-free 64-bit prints.
+    A bucket is settled if every run from its first draw up has the same sums, as reruns
+    of one list must; the records of the other buckets are compared exactly: with ``low``
+    the lowest draw that chose a record, it is stable if all runs of draws from ``low`` up
+    have it. Only counts move, two-phase, whatever share of the rows a kind or bucket holds.
     ``draws``: draw_id, run_no, record_kind, record_key (normalised).
     """
     known = draws.where("draw_id is not null and run_no is not null")
-    runs = known.select("draw_id", "run_no").distinct()
-    due = runs.select(F.col("draw_id").alias("low")).distinct().join(runs, F.col("low") <= F.col("draw_id")).groupBy("low").agg(F.count("*").alias("due"))
-    rows = known.where("record_kind is not null and record_key is not null").select("record_kind", "record_key", bucket(F.col("record_key"), F.col("record_kind"), seed).alias("bucket"), "draw_id", "run_no")
-    seen = rows.distinct().groupBy("bucket", "record_kind", "record_key").agg(F.min("draw_id").alias("low"), F.count("*").alias("seen"))
+    per_draw = known.select("draw_id", "run_no").distinct().groupBy(F.col("draw_id").alias("low")).agg(F.count("*").alias("runs"))
+    # One row per draw: the runs of this and all higher draws.
+    due = per_draw.select("low", F.sum("runs").over(Window.orderBy(F.col("low").desc())).alias("due"))
+    rows = known.where("record_kind is not null and record_key is not null").select("record_kind", "record_key", bucket(F.col("record_key"), F.col("record_kind"), seed).alias("bucket"), "draw_id", "run_no").distinct()
+    sums = F.struct(F.count("*"), F.bit_xor(F.xxhash64("record_key")), F.bit_xor(F.xxhash64(F.lit(1), "record_key")))
+    runs = rows.groupBy("record_kind", "bucket", "draw_id", "run_no").agg(sums.alias("sums"))
+    agreed = runs.groupBy("record_kind", "bucket").agg(F.min("draw_id").alias("low"), F.count("*").alias("seen"), F.min("sums").alias("least"), F.max("sums").alias("most"))
+    open_ = agreed.join(due, "low").where("seen < due or least <> most").select("record_kind", "bucket")
+    seen = rows.join(open_, ["record_kind", "bucket"], "left_semi").groupBy("record_kind", "record_key").agg(F.min("draw_id").alias("low"), F.count("*").alias("seen"))
     return seen.join(due, "low").where("seen < due").select("record_kind", "record_key")

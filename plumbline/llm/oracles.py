@@ -2,32 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.functions.compare import WHITE_SPACE
 from plumbline.llm import nested_sample
-from plumbline.llm.queries import SEED
-
-_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITE_SPACE) + "]"
-
-
-def key(c: str) -> str:
-    return f"nullif(regexp_replace(lower({c}), '^{_CLASS}+|{_CLASS}+$', '', 'g'), '')"
-
-
-def cat(c: str) -> str:
-    return f"replace({key(c)}, '_', '-')"
-
-
-def sha(c: str) -> str:
-    return f"nullif(regexp_extract(regexp_replace(lower({c}), '{_CLASS}+', '', 'g'), '^(?:[a-z0-9_-]+[:=])?(?:0x)?([0-9a-f]+)$', 1), '')"
-
-
-def bits(c: str) -> str:
-    bare = f"ltrim(regexp_extract(regexp_replace(lower({c}), '{_CLASS[:-1]}:_.-]+', '', 'g'), '^(?:0x)?([0-9a-f]+)$', 1), '0')"
-    return f"CASE WHEN {bare} <> '' AND length({bare}) <= 16 THEN ('0x' || {bare})::UBIGINT END"
-
-
-def words(c: str) -> str:
-    return f"CAST(coalesce(len(regexp_extract_all({c}, '[^{_CLASS[1:-1]}]+')), 0) AS BIGINT)"
+from plumbline.llm.queries import DRAWS, SEED
+from plumbline.plans.dialect import bits, cat, key, sha, words
 
 
 def _near(left: str, right: str, extra: str, columns: str) -> str:
@@ -59,6 +36,30 @@ SELECT DISTINCT p.kind AS record_kind, p.ka AS key_a, p.kb AS key_b FROM p JOIN
 JOIN batches b ON b.batch_id = greatest(x.batch, y.batch) WHERE x.batch <> y.batch AND {key('b.state')} = 'new'
 """
 
+_RECORDS = f"""r AS (SELECT record_kind, record_key, min(batch_id) AS batch FROM (SELECT 'sample' AS record_kind, {key('sample_id')} AS record_key, batch_id FROM samples UNION ALL SELECT 'group', {key('provenance_group')}, batch_id FROM samples UNION ALL SELECT 'monet', {key('"__key__"')}, batch_id FROM monet_rows) GROUP BY 1, 2),
+b AS (SELECT *, ({_number('record_kind', 'record_key')} % {nested_sample.BUCKETS} * {nested_sample.STRIDE} + {nested_sample.OFFSET}) % {nested_sample.BUCKETS} AS bucket_place FROM r WHERE record_key IS NOT NULL)"""
+_LISTED = [(i, last, nested_sample.listed(share)) for i, (last, share) in enumerate(DRAWS, 1)]
+
+#: Components of groups that samples tie together, and the split that rendezvous hashing gives each sample under each manifest.
+_ASSIGNED = f"""m AS (SELECT DISTINCT {key('sample_id')} AS k, {key('provenance_group')} AS g FROM samples WHERE {key('sample_id')} IS NOT NULL),
+ed AS (SELECT DISTINCT a.g AS x, b.g AS y FROM m a JOIN m b ON a.k = b.k WHERE a.g <> b.g),
+re(x, y) AS (SELECT DISTINCT g, g FROM m WHERE g IS NOT NULL UNION SELECT re.x, ed.y FROM re JOIN ed ON ed.x = re.y),
+co AS (SELECT x AS g, min(y) AS component FROM re GROUP BY 1),
+of AS (SELECT k, coalesce(min(component), 'alone' || chr(31) || k) AS component FROM m LEFT JOIN co USING (g) GROUP BY k),
+ra AS (SELECT split_manifest_id, seed, unnest(map_entries(ratios)) AS e FROM split_manifests),
+sc AS (SELECT split_manifest_id, component, e.key AS split, e.value / -ln((CAST(('0x' || substr(sha256(seed || chr(31) || e.key || chr(31) || component), 1, 12)) AS BIGINT) + 0.5e0) / 281474976710656e0) AS score FROM ra, (SELECT DISTINCT component FROM of) WHERE e.value > 0),
+wi AS (SELECT split_manifest_id, component, arg_max(split, score) AS split FROM sc GROUP BY 1, 2),
+asg AS (SELECT split_manifest_id, k AS sample_id, split FROM of JOIN wi USING (component))"""
+
+#: Assigned records and their values, on both sides.
+_SIDES = f"""k AS (SELECT {key('sample_id')} AS s, min({cat('source_id')}) AS source FROM samples GROUP BY 1),
+a AS (SELECT DISTINCT split_manifest_id AS m, {key('sample_id')} AS s, {cat('split')} AS split FROM split_assignments WHERE split_manifest_id IS NOT NULL AND {cat('split')} IN ('train', 'validation', 'calibration') AND {key('sample_id')} IN (SELECT s FROM k)),
+x AS (SELECT DISTINCT {key("'monet:' || \"__key__\"")} AS s, {bits('hash_perceptual')} AS b, sscd_cluster_id AS v FROM monet_rows),
+v AS (SELECT DISTINCT 'content' AS how, {key('sample_id')} AS s, {sha('content_sha256')} AS v FROM samples UNION SELECT 'cluster', s, v FROM x UNION SELECT 'perceptual', s, b::VARCHAR FROM x),
+el AS (SELECT DISTINCT m, how, s, v FROM a JOIN v USING (s) WHERE split <> 'train' AND v IS NOT NULL),
+tl AS (SELECT DISTINCT m, how, s, v FROM a JOIN v USING (s) WHERE split = 'train' AND v IS NOT NULL),
+e AS (SELECT m, s, v::UBIGINT AS b, v FROM el WHERE how = 'perceptual'), t AS (SELECT m, s, v::UBIGINT AS b, v FROM tl WHERE how = 'perceptual')"""
+
 ORACLES = {
     "p2_found": f"""
 WITH d AS (SELECT DISTINCT draw_id, run_no, {key('record_kind')} AS record_kind, {key('record_key')} AS record_key FROM draws WHERE draw_id IS NOT NULL AND run_no IS NOT NULL),
@@ -68,9 +69,10 @@ SELECT DISTINCT k.record_kind, k.record_key FROM known k JOIN runs r ON r.draw_i
 WHERE NOT EXISTS (SELECT 1 FROM known o WHERE o.draw_id = r.draw_id AND o.run_no = r.run_no AND o.record_kind = k.record_kind AND o.record_key = k.record_key)
 """,
     "p2_nested_sample": f"""
-WITH r AS (SELECT 'sample' AS record_kind, {key('sample_id')} AS record_key FROM samples UNION SELECT 'group', {key('provenance_group')} FROM samples UNION SELECT 'monet', {key('"__key__"')} FROM monet_rows),
-b AS (SELECT *, ({_number('record_kind', 'record_key')} % {nested_sample.BUCKETS} * {nested_sample.STRIDE} + {nested_sample.OFFSET}) % {nested_sample.BUCKETS} AS bucket_place FROM r WHERE record_key IS NOT NULL)
-SELECT record_kind, record_key, CAST(bucket_place AS BIGINT) AS bucket_place FROM b WHERE bucket_place < {nested_sample.listed(0.05)}
+WITH {_RECORDS} SELECT record_kind, record_key, CAST(bucket_place AS BIGINT) AS bucket_place FROM b WHERE bucket_place < {nested_sample.listed(0.05)}
+""",
+    "p2_growth": f"""
+WITH {_RECORDS} {' UNION ALL '.join(f'SELECT CAST({i} AS INT) AS draw, CAST({n} AS INT) AS listed, count(*) AS records, CAST(0 AS BIGINT) AS lost FROM b WHERE batch <= {last} AND bucket_place < {n}' for i, last, n in _LISTED)}
 """,
     "p3_found": f"""
 WITH i AS (SELECT {cat('source')} AS source, sscd_cluster_id, "__key__" AS monet_key, max(aesthetic_score) AS score FROM monet_rows
@@ -83,22 +85,32 @@ WITH s AS (SELECT DISTINCT {key('sample_id')} AS k, {cat('source_id')} AS source
 n AS (SELECT source_id, g, c, label, count(*) AS n FROM s WHERE k IS NOT NULL AND source_id IS NOT NULL AND c IS NOT NULL AND label IS NOT NULL GROUP BY ALL)
 SELECT t.target_id FROM sample_targets t LEFT JOIN n ON n.source_id = {cat('t.source_id')} AND n.g IS NOT DISTINCT FROM {cat('t.generator_family')} AND n.c = {cat('t.content_type')} AND n.label = t.label
 WHERE coalesce(n.n, 0) < t.target_share * t.sample_size OR coalesce(n.n, 0) < t.min_records
+""",
+    # Both sets can be filled here, so each comes out whole and without repeats.
+    "p4_drawn": f"""
+WITH s AS (SELECT DISTINCT {key('sample_id')} AS k, {cat('source_id')} AS source_id, {cat('generator_family')} AS g, {cat('content_type')} AS c, label FROM samples WHERE {key('sample_id')} IS NOT NULL),
+n AS (SELECT t.target_set, count(*) AS available FROM s JOIN sample_targets t ON s.source_id = {cat('t.source_id')} AND s.g IS NOT DISTINCT FROM {cat('t.generator_family')} AND s.c = {cat('t.content_type')} AND s.label = t.label GROUP BY 1)
+SELECT target_set, sample_size, available, least(sample_size, available) AS quota, least(sample_size, available) AS drawn, least(sample_size, available) AS distinct_keys FROM (SELECT target_set, max(sample_size) AS sample_size FROM sample_targets GROUP BY 1) JOIN n USING (target_set)
 """,
     "p5_found": f"""
 WITH m AS (SELECT DISTINCT {key('sample_id')} AS k, {key('provenance_group')} AS g FROM samples),
 a AS (SELECT DISTINCT split_manifest_id, {key('sample_id')} AS k, {cat('split')} AS split FROM split_assignments)
 SELECT split_manifest_id, g AS provenance_group FROM a JOIN m USING (k) WHERE g IS NOT NULL AND split IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split) > 1
+""",
+    "p5_assignments": f"WITH RECURSIVE {_ASSIGNED} SELECT * FROM asg",
+    "p5_balance": f"""
+WITH RECURSIVE {_ASSIGNED}, n AS (SELECT split_manifest_id, split, count(*) AS n FROM asg GROUP BY 1, 2), al AS (SELECT split_manifest_id, sum(n) AS total FROM n GROUP BY 1)
+SELECT split_manifest_id, e.key AS split, e.value AS ratio, coalesce(n, 0) AS n, coalesce(n, 0) / total AS share FROM ra JOIN al USING (split_manifest_id) LEFT JOIN n ON n.split_manifest_id = ra.split_manifest_id AND n.split = e.key
 """,
     "p6_found": f"""
-WITH k AS (SELECT DISTINCT {key('sample_id')} AS s FROM samples),
-a AS (SELECT DISTINCT split_manifest_id AS m, {key('sample_id')} AS s, {cat('split')} = 'train' AS t FROM split_assignments WHERE {cat('split')} IN ('train', 'validation', 'calibration') AND {key('sample_id')} IN (SELECT s FROM k)),
-c AS (SELECT DISTINCT {key('sample_id')} AS s, {sha('content_sha256')} AS v FROM samples),
-x AS (SELECT DISTINCT {key("'monet:' || \"__key__\"")} AS s, {bits('hash_perceptual')} AS b, sscd_cluster_id AS v FROM monet_rows),
-e AS (SELECT a.m, a.s, x.b FROM a JOIN x USING (s) WHERE NOT t AND b IS NOT NULL), t AS (SELECT a.m, a.s, x.b FROM a JOIN x USING (s) WHERE t AND b IS NOT NULL),
-p AS (SELECT e.m, e.s AS es, t.s AS ts FROM a e JOIN c ce ON ce.s = e.s JOIN c ct ON ct.v = ce.v JOIN a t ON t.s = ct.s AND t.m = e.m WHERE NOT e.t AND t.t
- UNION SELECT e.m, e.s, t.s FROM a e JOIN x ce ON ce.s = e.s JOIN x ct ON ct.v = ce.v JOIN a t ON t.s = ct.s AND t.m = e.m WHERE NOT e.t AND t.t
- UNION {_near('e', 't', 'l.m = r.m AND', 'l.m, l.s, r.s')})
+WITH {_SIDES},
+p AS (SELECT l.m, l.s AS es, r.s AS ts FROM el l JOIN tl r ON l.m = r.m AND l.how = r.how AND l.v = r.v UNION {_near('e', 't', 'l.m = r.m AND', 'l.m, l.s, r.s')})
 SELECT DISTINCT m AS split_manifest_id, least(es, ts) AS sample_a, greatest(es, ts) AS sample_b FROM p WHERE es <> ts
+""",
+    "p6_counts": f"""
+WITH {_SIDES},
+p AS (SELECT l.m, l.how, l.s AS es, r.s AS ts, l.v AS ev, r.v AS tv FROM el l JOIN tl r ON l.m = r.m AND l.how = r.how AND l.v = r.v UNION {_near('e', 't', 'l.m = r.m AND', "l.m, 'perceptual', l.s, r.s, l.v, r.v")})
+SELECT p.m AS split_manifest_id, a.split, k.source, p.how, count(DISTINCT p.es) AS samples, count(*) AS links FROM p JOIN a ON a.m = p.m AND a.s = p.es AND a.split <> 'train' JOIN k ON k.s = p.es WHERE p.es <> p.ts GROUP BY ALL
 """,
     "p7_found": f"""
 SELECT container_class, doc_id FROM documents JOIN containers ON {words('text')} > capacity_words WHERE doc_id IS NOT NULL

@@ -66,6 +66,28 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nested_sample.unstable_records(draws.select("draw_id", "run_no", key_text("record_kind").alias("record_kind"), key_text("record_key").alias("record_key")), SEED)
 
 
+#: Three draws of the growing sample: the last batch that had arrived, and the share wanted.
+DRAWS = ((4, 0.03), (7, 0.04), (10, 0.05))
+
+
+def p2_growth(spark: SparkSession, d: str) -> DataFrame:
+    """Three draws from one stored bucket list while batches arrive: what was listed, chosen and lost since the draw before."""
+    ws = Workspace(spark, "p2")
+    buckets = nested_sample.BucketList(spark, ws.path("buckets"))
+    out = before = None
+    for draw, (last, share) in enumerate(DRAWS, 1):
+        upto = buckets.extend(nested_sample.listed(share))
+        chosen = ws.put(nested_sample.nested_sample(_records(spark, d, last), upto, SEED), f"draw-{draw}")
+        lost = F.lit(0).cast("bigint")
+        one = chosen.agg(F.lit(draw).alias("draw"), F.lit(upto).alias("listed"), F.count("*").alias("records"))
+        if before is not None:
+            one = one.crossJoin(before.join(chosen, ["record_kind", "record_key"], "left_anti").agg(F.count("*").alias("lost")))  # one row each
+        else:
+            one = one.withColumn("lost", lost)
+        out, before = one if out is None else out.unionByName(one), chosen
+    return out
+
+
 def p2_nested_sample(spark: SparkSession, d: str) -> DataFrame:
     """A sample of 5 % of all samples, groups and monet rows that only grows with new batches."""
     return nested_sample.nested_sample(_records(spark, d), nested_sample.listed(0.05), SEED)
@@ -91,15 +113,25 @@ def _p4(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Targets that cannot be met, from the supply that the allocation starts with."""
-    return quota_sample.shortfalls(quota_sample.supply(*_p4(spark, d))).select("target_id")
+    """Targets that the allocation could not meet from their own category."""
+    return quota_sample.shortfalls(p4_report(spark, d)).select("target_id")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per target: wanted, available and allotted records."""
+    """Per target: wanted, available and allotted records, what is unmet and what was passed on."""
     return quota_sample.allocation(quota_sample.supply(*_p4(spark, d)))
 
 
+def p4_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Per target set: its size, what its categories hold together, and what was drawn."""
+    records, targets = _p4(spark, d)
+    ws = Workspace(spark, "p4")
+    quotas = ws.put(quota_sample.allocation(quota_sample.supply(records, targets)), "quotas")
+    drawn = quota_sample.draw(records, targets, quotas, SEED, ws).groupBy("target_set").agg(F.count("*").alias("drawn"), F.countDistinct("key").alias("distinct_keys"))
+    sets = quotas.groupBy("target_set").agg(F.max("sample_size").alias("sample_size"), F.sum("available").alias("available"), F.sum("quota").alias("quota"))
+    return sets.join(drawn, "target_set", "left").select("target_set", "sample_size", "available", "quota", "drawn", "distinct_keys")
+
+
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     """The drawn records."""
     records, targets = _p4(spark, d)
@@ -153,7 +185,8 @@ def p5_balance(spark: SparkSession, d: str) -> DataFrame:
     return counts.join(total, "split_manifest_id").join(wanted, ["split_manifest_id", "split"], "right").select("split_manifest_id", "split", "ratio", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
 
 
-def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _overlap_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Assigned records, the values that they are compared by, and (manifest, e_id, split, source) of evaluation records."""
     ws = Workspace(spark, "p6")
     samples = table(spark, d, "samples", "sample_id", "source_id", "content_sha256").select(key_text("sample_id").alias("sample_id"), category("source_id").alias("source"), digest("content_sha256").alias("digest")).where("sample_id is not null")
     known = samples.select("sample_id").distinct()
@@ -162,27 +195,29 @@ def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     assigned = kept.select("manifest", "sample_id", (F.col("split") == "train").alias("in_train")).distinct()
     monet = table(spark, d, "monet_rows", "__key__", "hash_perceptual", "sscd_cluster_id").where("`__key__` is not null")
     as_sample = key_text(F.concat(F.lit("monet:"), "__key__")).alias("sample_id")
-    hashes = monet.select(as_sample, bits64("hash_perceptual").alias("bits")).where("bits is not null").distinct()
-    clusters = monet.select(as_sample, F.col("sscd_cluster_id").alias("cluster")).where("cluster is not null").distinct()
-    digests = samples.select("sample_id", "digest").where("digest is not null").distinct()
-    found = split_overlap.overlaps(assigned, digests, hashes, clusters)
+    value = lambda how, text: F.struct(F.lit(how).alias("how"), text.alias("text"))
+    of_monet = F.explode(F.array(value("perceptual", split_overlap.hash_text(bits64("hash_perceptual"))), value("cluster", F.col("sscd_cluster_id")))).alias("v")
+    values = monet.select(as_sample, of_monet).select("sample_id", "v.*").unionByName(samples.select("sample_id", F.lit("content").alias("how"), F.col("digest").alias("text")))
     source = samples.groupBy("sample_id").agg(F.min("source").alias("source"))
-    named = rows.where("split <> 'train'").join(source, "sample_id")
-    return found, named
+    named = kept.where("split <> 'train'").join(source, "sample_id").withColumnRenamed("sample_id", "e_id")
+    return assigned, ws.put(values.where("text is not null").distinct(), "values"), named
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a training and an evaluation sample that are the same or nearly so."""
-    found, _ = _overlaps(spark, d)
+    assigned, values, _ = _overlap_inputs(spark, d)
+    found = split_overlap.overlaps(assigned, values)
     return found.select(F.col("manifest").alias("split_manifest_id"), F.least("e_id", "t_id").alias("sample_a"), F.greatest("e_id", "t_id").alias("sample_b")).distinct()
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping evaluation samples and pairs per manifest, split and source."""
-    found, named = _overlaps(spark, d)
-    pairs = found.select("manifest", "e_id", "t_id").distinct().join(named.withColumnRenamed("sample_id", "e_id"), ["manifest", "e_id"])
-    per_sample = pairs.groupBy("manifest", "split", "source", "e_id").agg(F.count("*").alias("pairs"))
-    return per_sample.groupBy(F.col("manifest").alias("split_manifest_id"), "split", "source").agg(F.count("*").alias("samples"), F.sum("pairs").alias("pairs"))
+    """Per manifest, split, source and kind of overlap: evaluation samples that overlap, and their links to training samples.
+
+    A link is one training sample that shares one value; no pair is made to count them.
+    """
+    assigned, values, named = _overlap_inputs(spark, d)
+    linked = split_overlap.links(assigned, values).join(named, ["manifest", "e_id"])
+    return linked.groupBy(F.col("manifest").alias("split_manifest_id"), "split", "source", "how").agg(F.count("*").alias("samples"), F.sum("links").alias("links"))
 
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -246,5 +281,5 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_nested_sample, p3_found, p4_found, p4_report, p4_sample, p5_found, p5_assignments, p5_balance, p6_found, p6_counts, p7_found, p7_packing, p7_fill, p8_found, p8_shares, p8_mixture, p9_found, p9_composition)
+    for f in (p1_found, p2_found, p2_nested_sample, p2_growth, p3_found, p4_found, p4_report, p4_sample, p4_drawn, p5_found, p5_assignments, p5_balance, p6_found, p6_counts, p7_found, p7_packing, p7_fill, p8_found, p8_shares, p8_mixture, p9_found, p9_composition)
 }

@@ -30,7 +30,7 @@ from plumbline.session import Workspace
 
 SLICES = 1024
 CATEGORY = ["source_id", "generator_family", "content_type", "label"]
-_SUPPLY = "target_id int, target_set string, wanted double, min_records bigint, sample_size bigint, available bigint, quota bigint"
+_SUPPLY = "target_id int, target_set string, wanted double, min_records bigint, sample_size bigint, available bigint, quota bigint, unmet double, passed_on bigint"
 
 
 def supply(records: DataFrame, targets: DataFrame) -> DataFrame:
@@ -48,9 +48,9 @@ def supply(records: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.alias("t").join(counts.alias("c"), same, "left").select("t.*", F.coalesce("c.available", F.lit(0)).cast("bigint").alias("available"))
 
 
-def shortfalls(supplied: DataFrame) -> DataFrame:
-    """Targets whose category cannot give its share of the sample, or its minimum."""
-    return supplied.where((F.col("available") < F.col("target_share") * F.col("sample_size")) | (F.col("available") < F.col("min_records")))
+def shortfalls(allotted: DataFrame) -> DataFrame:
+    """Rows of ``allocation`` whose category cannot give its share of the sample, or its minimum."""
+    return allotted.where("unmet > 0")
 
 
 def _rounded(wanted: np.ndarray, total: int) -> np.ndarray:
@@ -75,10 +75,15 @@ def _pass_on(unmet: int, quota: np.ndarray, room: np.ndarray, weight: np.ndarray
 
 
 def allocate(targets: pd.DataFrame) -> pd.DataFrame:
-    """The quotas of one target set."""
+    """The quotas of one target set.
+
+    ``unmet`` is what a leaf's category lacks of its share or its minimum, before others
+    step in; ``passed_on`` is the part of its whole-number quota that was passed to
+    siblings and cousins. A null share, minimum or size counts as 0.
+    """
     t = targets.sort_values("target_id").reset_index(drop=True)
-    size = int(t["sample_size"].max())
-    share = t["target_share"].to_numpy(float)
+    size = int(t["sample_size"].fillna(0).max())
+    share = np.nan_to_num(t["target_share"].to_numpy(float, na_value=np.nan))
     minimum, have = t["min_records"].fillna(0).to_numpy(np.int64), t["available"].to_numpy(np.int64)
     want = np.maximum(_rounded(share / max(share.sum(), 1e-300) * size, size), minimum)
     over = int(want.sum() - size)  # minima above the share are paid for by those above their minimum
@@ -102,8 +107,10 @@ def allocate(targets: pd.DataFrame) -> pd.DataFrame:
             carried = np.zeros(here.sum(), np.int64)
             carried[0] = left
             unmet[here] = carried
-    wanted = share * size
-    return pd.DataFrame({"target_id": t["target_id"], "target_set": t["target_set"], "wanted": wanted, "min_records": minimum, "sample_size": size, "available": have, "quota": quota})
+    wanted = share * t["sample_size"].fillna(0).to_numpy(float)
+    # What the leaf itself lacks of its share or minimum, and what of its whole quota went to others.
+    lacks, passed = np.maximum(np.maximum(wanted, minimum) - have, 0.0), np.maximum(want - have, 0)
+    return pd.DataFrame({"target_id": t["target_id"], "target_set": t["target_set"], "wanted": wanted, "min_records": minimum, "sample_size": size, "available": have, "quota": quota, "unmet": lacks, "passed_on": passed})
 
 
 def allocation(supplied: DataFrame) -> DataFrame:

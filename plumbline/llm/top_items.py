@@ -4,8 +4,12 @@ Items are written once, split by descending score bands. The bands are then proc
 from the top: each band reads its own files only, drops the groups that are already
 filled (anti-join), and counts what it brings to the rest. A group is finished in the
 band in which it reaches N, its boundary band; the exact rank with the tie rule is
-taken over what was kept. No group is ever collected: ranks are limited to N per group
-before and after the shuffle.
+taken over what was kept.
+
+Within a band the rank limit comes before the anti-join, so that every task that reads
+the band first cuts each group to its own N best: what a group with a third of all rows
+sends over the network is N rows per reading task, and the anti-join and the final rank
+reuse the partitioning by group that this limit has made.
 
 Nulls: rows with a null group column, key or score, and NaN scores, don't count. Of a
 key's scores in a group the highest counts; repeated rows are one item. Ties go to the
@@ -31,8 +35,8 @@ def band_cuts(scores: DataFrame, bands: int) -> list[float]:
 def top_items(items: DataFrame, group: list[str], n: int, workspace: Workspace, more_than: int = 0, bands: int = 5) -> DataFrame:
     """(group..., key, score, rank) of the ``n`` best items of each group with more than ``more_than`` items.
 
-    ``items`` holds the group columns, ``key`` and ``score``. The rows of a group are
-    spread by their keys, so that one huge group is no hot partition.
+    ``items`` holds the group columns, ``key`` and ``score``. Repeated keys are combined
+    under group and key, which spreads a huge group over all partitions.
     """
     if n < 1 or bands < 1:
         raise ValueError("n and bands must be positive")
@@ -51,11 +55,10 @@ def top_items(items: DataFrame, group: list[str], n: int, workspace: Workspace,
         filled = workspace.put(small.select(*group), "small")
     counts, kept = None, []
     for b in range(len(cuts) + 1):
-        here = stored.where(F.col("band") == b).drop("band")
-        if filled is not None:
-            here = here.join(filled, group, "left_anti")
         best = Window.partitionBy(*group).orderBy(F.col("score").desc(), "key")
-        taken = here.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).drop("rank")
+        taken = stored.where(F.col("band") == b).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).drop("band", "rank")
+        if filled is not None:
+            taken = taken.join(filled, group, "left_anti")
         kept.append(workspace.put(taken, f"band-{b}"))
         if b == len(cuts):
             break
