@@ -1,9 +1,13 @@
 """Pairs of 64-bit numbers that differ in few bits.
 
-The bits are cut into ``k + 2`` blocks. Numbers at most ``k`` bits apart agree in at
-least two of them, so every such pair meets under the key made of some two agreeing
-blocks; the key has about 26 bits for k = 3, so that few other pairs meet. A pair is
-kept only under its first two agreeing blocks, hence once, without a distinct.
+The bits are cut into ``k + agree`` blocks. Numbers at most ``k`` bits apart agree in at
+least ``agree`` of them, so every such pair meets under the key made of some agreeing
+blocks. More blocks make longer keys, under which fewer other numbers meet, and more keys
+per number: for k = 3, two agreeing blocks give 26 bits and 10 keys, three give 32 bits
+and 20 keys, four 37 bits and 35 keys. A stored table keeps the count it was built with;
+``agree`` should be chosen so that the numbers expected are fewer than the keys have
+values. A pair is kept only under its first agreeing blocks, hence once, without a
+distinct.
 """
 
 from __future__ import annotations
@@ -13,10 +17,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+AGREE = 2
 
-def blocks(k: int, width: int = 64) -> list[tuple[int, int]]:
+
+def blocks(k: int, agree: int = AGREE, width: int = 64) -> list[tuple[int, int]]:
     """(shift, mask) of each block, the widths differing by one at most."""
-    n = k + 2
+    n = k + agree
     sizes = [width // n + (i < width % n) for i in range(n)]
     return [(sum(sizes[:i]), (1 << size) - 1) for i, size in enumerate(sizes)]
 
@@ -25,35 +31,26 @@ def _block(c: Column, shift: int, mask: int) -> Column:
     return F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(mask))
 
 
-def block_keys(c: Column, k: int) -> Column:
-    """ARRAY<BIGINT>: for every two blocks, their bits and, in the top bits, which two they are."""
-    cut = blocks(k)
+def block_keys(c: Column, k: int, agree: int = AGREE) -> Column:
+    """ARRAY<BIGINT>: for every choice of ``agree`` blocks, their bits and, in the top byte, which choice it is."""
+    cut = blocks(k, agree)
     keys = []
-    for n, (i, j) in enumerate(combinations(range(len(cut)), 2)):
-        high, low = _block(c, *cut[i]), _block(c, *cut[j])
-        keys.append(F.shiftleft(F.lit(n).cast("bigint"), 56) + F.shiftleft(high, 28) + low)
+    for n, chosen in enumerate(combinations(cut, agree)):
+        key, used = F.shiftleft(F.lit(n).cast("bigint"), 56), 0
+        for shift, mask in chosen:
+            key, used = key + F.shiftleft(_block(c, shift, mask), used), used + mask.bit_length()
+        keys.append(key)
     return F.array(*keys)
 
 
-def first_agreeing(xor: Column, k: int) -> Column:
-    """The number of the first two blocks in which all bits of ``xor`` are 0."""
-    cut = blocks(k)
-    out = None
-    for n, (i, j) in reversed(list(enumerate(combinations(range(len(cut)), 2)))):
-        same = (_block(xor, *cut[i]) == 0) & (_block(xor, *cut[j]) == 0)
-        out = F.when(same, F.lit(n)) if out is None else F.when(same, F.lit(n)).otherwise(out)
-    return out
-
-
-def near_numbers(left: DataFrame, right: DataFrame, k: int, on: list[str] | None = None) -> DataFrame:
-    """(on..., bits_l, bits_r): numbers of ``left.bits`` and ``right.bits`` at most ``k`` bits apart.
-
-    Both sides hold distinct non-null numbers (per value of ``on``); equal numbers are
-    0 bits apart and come out too. Nothing is capped; a key that many numbers share is
-    split by adaptive execution.
-    """
-    on = on or []
-    side = lambda df, name: df.select(*on, F.col("bits").alias(name), F.explode(block_keys(F.col("bits"), k)).alias("block_key"))
+def agreeing(met: DataFrame, k: int, agree: int = AGREE) -> DataFrame:
+    """Of pairs (bits_l, bits_r, block_key) that met under a key, those at most ``k`` bits apart, each under one key."""
     xor = F.col("bits_l").bitwiseXOR(F.col("bits_r"))
-    met = side(left, "bits_l").join(side(right, "bits_r"), [*on, "block_key"])
-    return met.where((F.bit_count(xor) <= k) & (F.shiftrightunsigned("block_key", 56) == first_agreeing(xor, k))).select(*on, "bits_l", "bits_r")
+    first = None
+    for n, chosen in reversed(list(enumerate(combinations(blocks(k, agree), agree)))):
+        same = None
+        for shift, mask in chosen:
+            equal = _block(xor, shift, mask) == 0
+            same = equal if same is None else same & equal
+        first = F.when(same, F.lit(n)) if first is None else F.when(same, F.lit(n)).otherwise(first)
+    return met.where((F.bit_count(xor) <= k) & (F.shiftrightunsigned("block_key", 56) == first))

@@ -1,25 +1,32 @@
 """Problem 1: deduplicating new batches against all history.
 
 A record is a set of contents (byte strings). A rolling hash cuts each content into
-chunks at boundaries that the content itself defines; the chunk table, a Parquet
-folder that is only ever appended to, names for every chunk the record, its batch and
-the chunk's bytes. A new batch is cut likewise and joined with the table on the chunk
-hash alone: the bytes shared by a new and an earlier content are summed up and the pair
-is kept if they cover enough of the larger of the two. History is never cut again.
-
-Contents with chunks that very many records share are looked up by their rarest chunks:
+chunks at boundaries that the content itself defines. ``ChunkTable`` is a folder of
+Parquet tables that outlives the session: which record has which content, and which
+content has which chunks, one partition per batch. A new batch is cut and joined with
+the stored chunks on the chunk hash alone; the bytes that a new and a stored content
+share are summed up, and the pair is kept if they cover enough of the larger of the two.
+History is never cut again, only joined with. Then the batch is taken in: every record is
+entered with its contents, and the chunks of those contents are appended that the table
+did not have. Appending a batch again replaces its own partition by the same rows.
+
+A content is known by 128 bits of its SHA-256 and stands in the chunk table once,
+however many records have it; so the chunk join works on distinct contents and copies
+come in only when pairs of records are wanted.
+
+Contents with chunks that very many contents share are looked up by their rarest chunks:
 a pair that covers the share ``c`` must meet in any selection of the new content's
 chunks that holds more than ``1 - c`` of its bytes, so probing with the rarest such
 selection loses nothing and no bucket is capped.
 
 64-bit perceptual hashes are too short for content-defined boundaries (three flipped
 bits can destroy every chunk), so their chunks are cut at fixed places: see
-``bitblocks``. The table keeps them as numbers; the pairs follow from agreeing blocks,
-and the shared bits are then counted exactly.
+``bitblocks``. Their block keys are stored in the same way, once per distinct number; the
+pairs follow from agreeing blocks, and the differing bits are then counted exactly.
 
-Nulls: a null key, content or batch is skipped (it equals nothing). An empty content
-has no chunks and repeats nothing. Repeated rows count once; of a key's batches the
-lowest counts. Columns other than the named ones are ignored.
+Nulls: a null key or batch is skipped; a null or empty content has no chunks and repeats
+nothing, though its record is entered with its batch. Repeated rows count once; of a
+key's batches the lowest counts. Columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +36,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.bitblocks import near_numbers
+from plumbline.llm.bitblocks import agreeing, block_keys
 from plumbline.llm.hashing import by_value
 from plumbline.session import Workspace
 
 WINDOW, SMALLEST, AVERAGE, LARGEST = 16, 16, 32, 128
-_RECORD = "kind string, key string, batch bigint, content_id bigint, bytes bigint, chunk bigint, chunk_bytes int"
+#: How many bits near perceptual hashes differ in at most.
+BITS_APART = 3
+_CHUNKS = "kind string, content_id binary, bytes bigint, chunk bigint, chunk_bytes int"
+#: The tables of a folder; ``batch`` is their partition.
+TABLES = {
+    "members": "kind string, key string, content_id binary",
+    "contents": "kind string, content_id binary",
+    "chunks": _CHUNKS,
+    "marks": "kind string, key string, bits bigint",
+    "blocks": "kind string, bits bigint, block_key bigint",
+}
 
 
 def _gear() -> np.ndarray:
@@ -116,85 +133,131 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chunk.append(h)
                 size.append(n)
         take = pa.array(rows, pa.int64())
-        ids = pa.array([xxhash.xxh3_64_intdigest(c) - (1 << 63) for c in contents], pa.int64())
-        fixed = [batch.column(n).take(take) for n in ("kind", "key", "batch")]
-        yield pa.RecordBatch.from_arrays(
-            [*fixed, ids.take(take), pa.array(lengths).take(take), pa.array(chunk, pa.int64()), pa.array(size, pa.int32())],
-            names=["kind", "key", "batch", "content_id", "bytes", "chunk", "chunk_bytes"],
-        )
-
+        names = [n for n in batch.schema.names if n != "content"]
+        made = [pa.array(lengths).take(take), pa.array(chunk, pa.int64()), pa.array(size, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in names), *made], names=[*names, "bytes", "chunk", "chunk_bytes"])
 
-def record_contents(rows: DataFrame) -> DataFrame:
-    """(kind, key, content, batch): distinct contents of each record, with the record's lowest batch.
 
-    ``rows`` has one row per delivery and content. A key that fills many rows is
-    combined before the shuffle.
-    """
-    known = rows.where(F.col("key").isNotNull())
-    batch = known.groupBy("kind", "key").agg(F.min("batch").cast("bigint").alias("batch"))
-    return known.where(F.col("content").isNotNull() & (F.col("content") != "")).select("kind", "key", "content").distinct().join(batch.where("batch is not null"), ["kind", "key"])
+def content_id(content: Column) -> Column:
+    """16 bytes that stand for a content."""
+    return F.unhex(F.substring(F.sha2(content, 256), 1, 32))
 
 
 def cut(contents: DataFrame) -> DataFrame:
-    """The chunk rows of (kind, key, content, batch)."""
-    return contents.select("kind", "key", "batch", "content").mapInArrow(_cut_batches, _RECORD)
+    """The chunk rows of (kind, content_id, content, batch)."""
+    return contents.select("kind", "content_id", "batch", "content").mapInArrow(_cut_batches, "kind string, content_id binary, batch bigint, bytes bigint, chunk bigint, chunk_bytes int")
 
 
 class ChunkTable:
-    """The persistent chunk-to-record table."""
+    """The persistent tables below ``root``, a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, root: str, workspace: Workspace):
+        self.spark, self.root, self.workspace = spark, root.rstrip("/"), workspace
+        self._runs = 0
 
-    def __init__(self, spark: SparkSession, workspace: Workspace, name: str = "chunks"):
-        self.spark, self.workspace, self.name = spark, workspace, name
-        self._like = spark.createDataFrame([], _RECORD)
+    def rows(self, name: str) -> DataFrame:
+        """One of TABLES, as stored so far."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        schema = f"{TABLES[name]}, batch bigint"
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
-    def append(self, contents: DataFrame) -> None:
-        """Cuts the contents and adds their chunks."""
-        self.workspace.put(cut(contents), self.name, mode="append")
+    def batches(self) -> list[int]:
+        """The batches that are stored, from the names of their partitions."""
+        return sorted(r[0] for r in self.rows("members").select("batch").distinct().collect())
 
-    def rows(self) -> DataFrame:
-        return self.workspace.get(self.name, self._like)
+    def _store(self, name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/{name}")
 
-    def repeats(self, new: DataFrame, coverage: float = 1.0, exact: bool = False) -> DataFrame:
-        """(kind, key_new, key_old, covered): records of ``new`` and earlier batches' records that they repeat.
+    def append(self, deliveries: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+        """Takes batches in; returns the chunk rows of all their contents.
 
-        ``new`` holds chunk rows, of the table or not. ``exact`` keeps only pairs with
-        equal contents (a check after the method, as chunks in another order cover too).
-        ``covered`` is the largest share over the two records' contents.
+        ``deliveries``: (kind, key, content, batch), one row per delivered content;
+        ``marks``: (kind, key, bits, batch), 64-bit hashes of records that
+        ``deliveries`` names, too. Both hold whole batches.
         """
-        here = ["kind", "key", "content_id"]
-        probe = new
+        self._runs += 1
+        ws, run = self.workspace, self._runs
+        known = deliveries.where("key is not null and batch is not null").select("kind", "key", F.nullif("content", F.lit("")).alias("content"), F.col("batch").cast("bigint").alias("batch"))
+        members = ws.put(known.distinct().withColumn("content_id", content_id(F.col("content"))), f"members-{run}")
+        mine = [r[0] for r in members.select("batch").distinct().collect()]  # a row per batch
+        contents = members.where("content is not null").groupBy("kind", "content_id").agg(F.first("content").alias("content"), F.min("batch").alias("batch"))
+        chunks = ws.put(cut(contents), f"chunks-{run}")
+        others = self.rows("contents").where(~F.col("batch").isin(mine)).select("kind", "content_id")
+        fresh = chunks.join(others, ["kind", "content_id"], "left_anti")
+        self._store("chunks", fresh)
+        self._store("contents", chunks.select("kind", "content_id", "batch").distinct().join(others, ["kind", "content_id"], "left_anti"))
+        self._store("members", members.drop("content"))
+        if marks is not None:
+            marked = ws.put(marks.where("key is not null and batch is not null and bits is not null").select("kind", "key", "bits", F.col("batch").cast("bigint").alias("batch")).distinct(), f"marks-{run}")
+            numbers = marked.groupBy("kind", "bits").agg(F.min("batch").alias("batch"))
+            seen = self.rows("marks").where(~F.col("batch").isin(mine)).select("kind", "bits")
+            self._store("blocks", numbers.join(seen, ["kind", "bits"], "left_anti").select("kind", "bits", F.explode(block_keys(F.col("bits"), BITS_APART)).alias("block_key"), "batch"))
+            self._store("marks", marked)
+        return chunks
+
+    def content_pairs(self, chunks: DataFrame, coverage: float = 1.0, exact: bool = False) -> DataFrame:
+        """(kind, new, old, covered): contents of appended ``chunks`` and stored contents that share enough bytes.
+
+        A content also covers itself. ``exact`` is a check after the decision: it drops
+        covered pairs that are different contents (the same chunks in another order).
+        """
+        stored = self.rows("chunks")
+        probe = chunks
         if coverage < 1.0:
-            rarity = self.rows().groupBy("kind", "chunk").agg(F.count("*").alias("holders"))
-            ranked = new.join(rarity, ["kind", "chunk"], "left").withColumn("holders", F.coalesce("holders", F.lit(0)))
-            before = Window.partitionBy(*here).orderBy("holders", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+            rarity = stored.groupBy("kind", "chunk").agg(F.count("*").alias("holders"))
+            ranked = chunks.join(rarity, ["kind", "chunk"], "left").withColumn("holders", F.coalesce("holders", F.lit(0)))
+            before = Window.partitionBy("kind", "content_id").orderBy("holders", "chunk").rowsBetween(Window.unboundedPreceding, -1)
             probe = ranked.withColumn("before", F.coalesce(F.sum("chunk_bytes").over(before), F.lit(0))).where(F.col("before") <= F.col("bytes") * (1.0 - coverage) + 1e-9)
-        old = self.rows().select("kind", "chunk", F.col("key").alias("key_old"), F.col("batch").alias("batch_old"), F.col("content_id").alias("content_old"), F.col("bytes").alias("bytes_old"), F.col("chunk_bytes").alias("shared"))
-        fresh = lambda df: df.select("kind", "chunk", F.col("key").alias("key_new"), F.col("batch").alias("batch_new"), F.col("content_id").alias("content_new"), F.col("bytes").alias("bytes_new"))
-        pair = ["kind", "key_new", "content_new", "bytes_new", "key_old", "content_old", "bytes_old"]
-        earlier = (F.col("batch_old") < F.col("batch_new")) & (F.col("key_old") != F.col("key_new"))
-        met = fresh(probe).join(old, ["kind", "chunk"]).where(earlier)
-        if exact:
-            met = met.where("content_new = content_old")
+        side = lambda df, name: df.select("kind", "chunk", F.col("content_id").alias(name), F.col("bytes").alias(f"bytes_{name}"))
+        pair = ["kind", "new", "old", "bytes_new", "bytes_old"]
+        old = stored.select("kind", "chunk", F.col("content_id").alias("old"), F.col("bytes").alias("bytes_old"), F.col("chunk_bytes").alias("shared"))
+        met = side(probe, "new").join(old, ["kind", "chunk"])
         if coverage < 1.0:
             # The probe finds the pairs; all their chunks are then counted.
             found = met.select(*pair).distinct()
-            met = found.join(fresh(new).drop("bytes_new", "batch_new"), ["kind", "key_new", "content_new"]).join(old.drop("bytes_old", "batch_old"), ["kind", "chunk", "key_old", "content_old"])
+            met = found.join(side(chunks, "new").drop("bytes_new"), ["kind", "new"]).join(old.drop("bytes_old"), ["kind", "chunk", "old"])
         shared = met.groupBy(*pair).agg(F.sum("shared").alias("shared"))
         covered = (F.col("shared") / F.greatest("bytes_new", "bytes_old")).alias("covered")
-        return shared.select("kind", "key_new", "key_old", covered).where(F.col("covered") >= coverage - 1e-12).groupBy("kind", "key_new", "key_old").agg(F.max("covered").alias("covered"))
+        enough = shared.select("kind", "new", "old", covered).where(F.col("covered") >= coverage - 1e-12)
+        return enough.where("new = old") if exact else enough
+
+    def number_pairs(self, batches: list[int]) -> DataFrame:
+        """(kind, new, old): numbers of some batches and stored numbers that differ in few bits."""
+        mine = self.rows("marks").where(F.col("batch").isin(batches)).select("kind", "bits").distinct()
+        probe = mine.select("kind", F.col("bits").alias("bits_l"), F.explode(block_keys(F.col("bits"), BITS_APART)).alias("block_key"))
+        stored = self.rows("blocks").select("kind", F.col("bits").alias("bits_r"), "block_key")
+        return agreeing(probe.join(stored, ["kind", "block_key"]), BITS_APART).select("kind", F.col("bits_l").alias("new"), F.col("bits_r").alias("old"))
 
+    def first_batches(self) -> DataFrame:
+        """(kind, key, first): the batch of each record."""
+        return self.rows("members").groupBy("kind", "key").agg(F.min("batch").alias("first"))
 
-def near_hash_repeats(records: DataFrame, new: DataFrame, k: int = 3) -> DataFrame:
-    """(kind, key_new, key_old): records whose 64-bit hash is at most ``k`` bits from an earlier batch's record's.
+    def record_pairs(self, pairs: DataFrame, table: str, value: str, batches: list[int]) -> DataFrame:
+        """(kind, key_new, key_old): records of different batches, the later of which is among ``batches``.
 
-    ``records`` and ``new`` hold (kind, key, bits, batch). The join runs over the
-    distinct numbers, so copies are compared once.
-    """
-    distinct = lambda df: df.select("bits").where("bits is not null").distinct()
-    met = near_numbers(distinct(new), distinct(records), k)
-    fresh = new.select(F.col("bits").alias("bits_l"), "kind", F.col("key").alias("key_new"), F.col("batch").alias("batch_new"))
-    old = records.select(F.col("bits").alias("bits_r"), F.col("kind"), F.col("key").alias("key_old"), F.col("batch").alias("batch_old"))
-    return met.join(fresh, "bits_l").join(old, ["kind", "bits_r"]).where("batch_old < batch_new and key_old <> key_new").select("kind", "key_new", "key_old").distinct()
+        ``pairs``: (kind, new, old), values of which the new one was delivered in
+        ``batches``; ``table`` and ``value`` say where the records of a value stand.
+        """
+        owners = self.rows(table).select("kind", "key", value).where(F.col(value).isNotNull()).distinct().join(self.first_batches(), ["kind", "key"])
+        # All deliveries of a record that first came in one of the batches are among them.
+        new = owners.where(F.col("first").isin(batches)).select("kind", F.col(value).alias("new"), F.col("key").alias("key_new"), F.col("first").alias("batch_new"))
+        old = owners.select("kind", F.col(value).alias("old"), F.col("key").alias("key_old"), F.col("first").alias("batch_old"))
+        met = pairs.select("kind", "new", "old").join(new, ["kind", "new"]).join(old, ["kind", "old"]).where("batch_old < batch_new and key_old <> key_new")
+        return met.select("kind", "key_new", "key_old").distinct()
+
+    def ingest(self, deliveries: DataFrame, marks: DataFrame | None = None, coverage: float = 1.0, exact: bool = False) -> DataFrame:
+        """Appends new batches and returns (kind, key_new, key_old), what they repeat of each other and of all earlier ones."""
+        chunks = self.append(deliveries, marks)
+        batches = [r[0] for r in self.workspace.get(f"members-{self._runs}", self._like()).select("batch").distinct().collect()]
+        found = self.record_pairs(self.content_pairs(chunks, coverage, exact), "members", "content_id", batches)
+        if marks is not None:
+            found = found.unionByName(self.record_pairs(self.number_pairs(batches), "marks", "bits", batches)).distinct()
+        return found
+
+    def _like(self) -> DataFrame:
+        return self.spark.createDataFrame([], "kind string, key string, content string, batch bigint, content_id binary")
 
 
 by_value()

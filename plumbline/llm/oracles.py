@@ -61,6 +61,7 @@ tl AS (SELECT DISTINCT m, how, s, v FROM a JOIN v USING (s) WHERE split = 'train
 e AS (SELECT m, s, v::UBIGINT AS b, v FROM el WHERE how = 'perceptual'), t AS (SELECT m, s, v::UBIGINT AS b, v FROM tl WHERE how = 'perceptual')"""
 
 ORACLES = {
+    "p1_digests": P1_SAMPLE_AND_MONET,
     "p2_found": f"""
 WITH d AS (SELECT DISTINCT draw_id, run_no, {key('record_kind')} AS record_kind, {key('record_key')} AS record_key FROM draws WHERE draw_id IS NOT NULL AND run_no IS NOT NULL),
 runs AS (SELECT DISTINCT draw_id, run_no FROM d),
@@ -114,6 +115,15 @@ SELECT p.m AS split_manifest_id, a.split, k.source, p.how, count(DISTINCT p.es)
 """,
     "p7_found": f"""
 SELECT container_class, doc_id FROM documents JOIN containers ON {words('text')} > capacity_words WHERE doc_id IS NOT NULL
+""",
+    "p7_audit": f"""
+WITH w AS (SELECT doc_id, max({words('text')}) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY 1)
+SELECT container_class, count(*) AS documents, CAST(sum(ceil(n / capacity_words)) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS words, CAST(0 AS BIGINT) AS needless, CAST(0 AS BIGINT) AS overfull FROM w, containers WHERE n > 0 GROUP BY 1
+""",
+    "p8_audit": f"""
+WITH w AS (SELECT {cat('source')} AS source, sum({words('text')}) AS n FROM documents GROUP BY 1)
+SELECT t.mixture_id, {cat('t.source')} AS source, CAST(coalesce(w.n, 0) AS BIGINT) AS available, round(t.target_share * x.budget_words, 6) AS wanted, t.target_share * x.budget_words > t.max_repeats * coalesce(w.n, 0) AS short, TRUE AS cap_kept, TRUE AS size_right
+FROM mix_targets t JOIN mixtures x USING (mixture_id) LEFT JOIN w ON w.source = {cat('t.source')}
 """,
     "p8_found": f"""
 WITH w AS (SELECT {cat('source')} AS source, sum({words('text')}) AS n FROM documents GROUP BY 1)

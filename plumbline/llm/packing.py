@@ -1,12 +1,17 @@
 """Problem 7: filling fixed-capacity containers with items.
 
-Items are spread over shards by hash; a shard has about SHARD items whatever the input,
-so the work of one task is bounded and shards run in parallel. In a shard the
-Karmarkar-Karp multiway differencing method deals the items to as many windows as their
-sizes need at least: it keeps a heap of partial partitions and merges the two with the
-largest imbalances in opposing order, largest window with smallest. Windows above the
-capacity give up their smallest items; these go where they fit best, and for what fits
-nowhere the window count rises: the method runs again on the rest.
+Items are spread over shards by the leading bits of a hash; the number of shards is a
+power of two, so that a growing corpus splits shards in two and leaves the rest alone. A
+shard has SHARD items at most on average, so the work of one task is bounded.
+
+In a shard the Karmarkar-Karp multiway differencing method deals the items to windows:
+it keeps a heap of partial partitions and merges the two with the largest imbalances in
+opposing order, largest window with smallest. The window count starts at what the sizes
+need at least and rises while a window exceeds the capacity, the items being differenced
+anew each time. Near-equal windows are no tight ones where a window holds few items, so
+the count is bounded by what best-fit decreasing needs for the same shard; where
+differencing cannot keep the capacity with that many windows, the best-fit windows are
+taken. No shard so uses more containers than the better of both.
 
 An item larger than the container is cut into full containers and a remainder, which is
 packed like any other item; no other item is cut.
@@ -76,34 +81,39 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
+def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Windows by best-fit decreasing: each item goes where it leaves the least room."""
+    windows: list[list[int]] = []
+    room: list[tuple[int, int]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        at = bisect_left(room, (sizes[i], -1))
+        space, n = room.pop(at) if at < len(room) else (capacity, len(windows))
+        if n == len(windows):
+            windows.append([])
+        windows[n].append(i)
+        insort(room, (space - sizes[i], n))
+    return windows
+
+
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of item numbers, none above the capacity. No item may be larger than it."""
-    rest, done = list(range(len(sizes))), []
-    while rest:
-        k = -(-sum(sizes[i] for i in rest) // capacity)
-        windows = [[rest[i] for i in w] for w in differencing([sizes[i] for i in rest], k)]
-        evicted, room = [], []
-        for n, window in enumerate(windows):
-            window.sort(key=lambda i: (sizes[i], i))
-            total = sum(sizes[i] for i in window)
-            while total > capacity:
-                # The smallest item that mends the window alone, else the largest one.
-                at = bisect_left(window, total - capacity, key=lambda i: sizes[i])
-                total -= sizes[out := window.pop(min(at, len(window) - 1))]
-                evicted.append(out)
-            room.append((capacity - total, n))
-        room.sort()
-        rest = []
-        for i in sorted(evicted, key=lambda i: (-sizes[i], i)):
-            at = bisect_left(room, (sizes[i], -1))
-            if at == len(room):
-                rest.append(i)
-                continue
-            space, n = room.pop(at)
-            windows[n].append(i)
-            insort(room, (space - sizes[i], n))
-        done.extend(w for w in windows if w)
-    return done
+    found = best_fit(sizes, capacity)
+    low, high = -(-sum(sizes) // capacity), len(found)
+
+    def dealt(k: int) -> list[list[int]] | None:
+        windows = differencing(sizes, k)
+        return windows if max(sum(sizes[i] for i in w) for w in windows) <= capacity else None
+
+    if not sizes or (windows := dealt(high)) is None:
+        return found
+    found = windows
+    while low < high:  # the smallest count, if more windows never make the fullest one fuller
+        middle = (low + high) // 2
+        if (windows := dealt(middle)) is None:
+            low = middle + 1
+        else:
+            found, high = windows, middle
+    return [w for w in found if w]
 
 
 def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
@@ -116,9 +126,9 @@ def pack_shard(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(window=window)[["container_class", "shard", "window", "doc_id", "piece", "size"]]
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """(doc_id, size) in words of the whole text; documents without words are left out."""
-    sizes = documents.where("doc_id is not null").select("doc_id", word_count("text").alias("size")).where("size > 0")
+def sized(documents: DataFrame, size=word_count) -> DataFrame:
+    """(doc_id, size) of the whole text in words, or as another column function counts; documents without size are left out."""
+    sizes = documents.where("doc_id is not null").select("doc_id", size("text").alias("size")).where("size > 0")
     return sizes.groupBy("doc_id").agg(F.max("size").alias("size"))
 
 
@@ -147,8 +157,8 @@ def packing(items: DataFrame, classes: DataFrame, seed: str = "packing", shard_s
     Pieces that fill a container alone need no packing; their containers are named
     after the item. ``items``: distinct (doc_id, size > 0).
     """
-    shards = max(1, -(-items.count() // shard_size))
-    each = pieces(items, classes).withColumn("shard", F.pmod(hash_number(seed, F.col("doc_id")), F.lit(shards)).cast("int"))
+    bits = (max(1, -(-items.count() // shard_size)) - 1).bit_length()  # 2^bits shards
+    each = pieces(items, classes).withColumn("shard", F.shiftright(hash_number(seed, F.col("doc_id")), 48 - bits).cast("int"))
     full = F.concat(F.lit("full-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece").cast("string"))
     out = ["container_class", "container", "doc_id", "piece", "size"]
     whole = each.where("size = capacity").withColumn("container", full).select(*out)
@@ -156,6 +166,13 @@ def packing(items: DataFrame, classes: DataFrame, seed: str = "packing", shard_s
     return dealt.withColumn("container", F.concat_ws("-", "shard", "window")).select(*out).unionByName(whole)
 
 
+def fill(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per class: containers, pieces, size, the fullest container and the share of the space that is filled."""
+    per = placed.groupBy("container_class", "container").agg(F.count("*").alias("pieces"), F.sum("size").alias("size"))
+    total = per.groupBy("container_class").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("size").alias("size"), F.max("size").alias("fullest"))
+    return total.join(classes, "container_class").withColumn("filled", F.col("size") / (F.col("containers") * F.col("capacity")))
+
+
 def oversized(placed: DataFrame) -> DataFrame:
     """(container_class, doc_id): items that the packing had to cut."""
     return placed.where("piece > 0").select("container_class", "doc_id").distinct()

@@ -15,8 +15,8 @@ from plumbline.llm.hashing import by_value
 
 _EXTENSION = re.compile(r"\.(?:jpe?g|jpe|jfif|png|webp|gif|bmp|tiff?|heic|heif|avif|img)$")
 #: What file managers add to a copy's name, before or after the stem.
-_BEFORE = re.compile(r"^(?:copy(?:[ _-]*\(?\d{1,3}\)?)?[ _-]+of|kopie[ _-]+von|copie[ _-]+de)[ _-]+")
-_AFTER = re.compile(r"(?:[ _-]*\(\d{1,3}\)|[ _-]+\(?(?:copy|kopie|copie)(?:[ _-]*\(?\d{1,3}\)?)?\)?|~\d{0,3})$")
+_BEFORE = re.compile(r"^(?:copy(?:[ _-]*\(?\d+\)?)?[ _-]+of|kopie[ _-]+von|copie[ _-]+de)[ _-]+")
+_AFTER = re.compile(r"(?:[ _-]*\(\d+\)|[ _-]+\(?(?:copy|kopie|copie)(?:[ _-]*\(?\d+\)?)?\)?|~\d*)$")
 _SEPARATORS = re.compile(r"[\s_.,+-]+")
 
 

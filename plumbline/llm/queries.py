@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.compare import bits64, category, digest, key_text
 from plumbline.llm import chunkstore, group_splits, mixing, nested_sample, packing, quota_sample, split_overlap, subjects, top_items
 from plumbline.llm.picture_names import picture_name_udf
+from plumbline.llm.tokens import token_count
 from plumbline.llm.words import word_count
 from plumbline.session import Workspace
 from plumbline.sources.tables import table
@@ -17,11 +18,6 @@ from plumbline.sources.tables import table
 SEED = "plumbline-1"
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    low, high = F.least("key_new", "key_old"), F.greatest("key_new", "key_old")
-    return found.select(F.col("kind").alias("record_kind"), low.alias("key_a"), high.alias("key_b"))
-
-
 def _deliveries(spark: SparkSession, d: str) -> DataFrame:
     """(kind, key, content, batch): each delivered content of the three kinds of records."""
     samples = table(spark, d, "samples", "sample_id", "content_sha256", "upstream_sha256", "batch_id")
@@ -29,25 +25,43 @@ def _deliveries(spark: SparkSession, d: str) -> DataFrame:
     rows = samples.select(F.lit("sample").alias("kind"), key_text("sample_id").alias("key"), contents.alias("content"), F.col("batch_id").alias("batch"))
     monet = table(spark, d, "monet_rows", "__key__", "hash_sha256", "batch_id")
     rows = rows.unionByName(monet.select(F.lit("monet").alias("kind"), F.col("__key__").alias("key"), digest("hash_sha256").alias("content"), F.col("batch_id").alias("batch")))
-    mirage = table(spark, d, "mirage_rows", "file_name", "batch_id").where("file_name is not null").groupBy("file_name").agg(F.min("batch_id").alias("batch"))
-    return rows.unionByName(mirage.select(F.lit("mirage").alias("kind"), F.col("file_name").alias("key"), picture_name_udf("file_name").alias("content"), "batch"))
+    mirage = table(spark, d, "mirage_rows", "file_name", "batch_id").where("file_name is not null").distinct()
+    return rows.unionByName(mirage.select(F.lit("mirage").alias("kind"), F.col("file_name").alias("key"), picture_name_udf("file_name").alias("content"), F.col("batch_id").alias("batch")))
+
+
+def _marks(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, key, bits, batch): the perceptual hashes."""
+    monet = table(spark, d, "monet_rows", "__key__", "hash_perceptual", "batch_id")
+    return monet.select(F.lit("monet").alias("kind"), F.col("__key__").alias("key"), bits64("hash_perceptual").alias("bits"), F.col("batch_id").alias("batch"))
+
+
+#: The session setting that names a lasting folder for the chunk table of problem 1.
+STORE = "spark.plumbline.store"
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """New records and the earlier ones that they repeat, by the chunk table."""
+    """New records and the earlier ones that they repeat, by the chunk table.
+
+    Accepted batches enter the table once; the new ones are then cut, matched and
+    appended. Where the session names a lasting folder (STORE), batches that it holds
+    already are not read again; otherwise the table starts empty.
+    """
     ws = Workspace(spark, "p1")
-    states = table(spark, d, "batches", "batch_id", "state")
-    new = states.where(key_text("state") == "new").select(F.col("batch_id").cast("bigint").alias("batch")).distinct()
-    chunks = chunkstore.ChunkTable(spark, ws)
-    # Accepted batches and the new ones in one append: a pair's earlier record is of any lower batch.
-    chunks.append(chunkstore.record_contents(_deliveries(spark, d)))
-    found = chunks.repeats(chunks.rows().join(new, "batch"), coverage=1.0, exact=True).select("kind", "key_new", "key_old")
-    monet = table(spark, d, "monet_rows", "__key__", "hash_perceptual", "batch_id").where("`__key__` is not null")
-    batch = monet.groupBy(F.col("__key__").alias("key")).agg(F.min("batch_id").cast("bigint").alias("batch"))
-    bits = monet.select(F.col("__key__").alias("key"), bits64("hash_perceptual").alias("bits")).where("bits is not null").distinct()
-    hashed = ws.put(bits.join(batch, "key").select(F.lit("monet").alias("kind"), "key", "bits", "batch"), "hashes")
-    near = chunkstore.near_hash_repeats(hashed, hashed.join(new, "batch"))
-    return _pairs(found.unionByName(near)).distinct()
+    lasting = spark.conf.get(STORE, None)
+    chunks = chunkstore.ChunkTable(spark, lasting or ws.path("store"), ws)
+    states = table(spark, d, "batches", "batch_id", "state").where("batch_id is not null")
+    new = [r[0] for r in states.where(key_text("state") == "new").select("batch_id").distinct().collect()]  # a row per batch
+    held = [b for b in chunks.batches() if b not in new] if lasting else []
+    deliveries, marks, batch = _deliveries(spark, d), _marks(spark, d), F.col("batch")
+    chunks.append(deliveries.where(~batch.isin(new + held)), marks.where(~batch.isin(new + held)))
+    found = chunks.ingest(deliveries.where(batch.isin(new)), marks.where(batch.isin(new)), coverage=1.0, exact=True)
+    low, high = F.least("key_new", "key_old"), F.greatest("key_new", "key_old")
+    return found.select(F.col("kind").alias("record_kind"), low.alias("key_a"), high.alias("key_b"))
+
+
+def p1_digests(spark: SparkSession, d: str) -> DataFrame:
+    """The sample and monet rows of ``p1_found``, which SQL can find as well."""
+    return p1_found(spark, d).where("record_kind <> 'mirage'")
 
 
 def _records(spark: SparkSession, d: str, upto: int | None = None) -> DataFrame:
@@ -220,13 +234,22 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return linked.groupBy(F.col("manifest").alias("split_manifest_id"), "split", "source", "how").agg(F.count("*").alias("samples"), F.sum("links").alias("links"))
 
 
-def p7_packing(spark: SparkSession, d: str) -> DataFrame:
-    """Where each document, or piece of a too long one, lies."""
-    items = Workspace(spark, "p7").put(packing.sized(table(spark, d, "documents", "doc_id", "text")), "sizes")
+def _packed(spark: SparkSession, d: str, size) -> DataFrame:
+    items = Workspace(spark, "p7").put(packing.sized(table(spark, d, "documents", "doc_id", "text"), size), "sizes")
     classes = table(spark, d, "containers").select("container_class", F.col("capacity_words").alias("capacity"))
     return packing.packing(items, classes, SEED)
 
 
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Where each document, or piece of a too long one, lies; sizes in words."""
+    return _packed(spark, d, word_count)
+
+
+def p7_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The same with sizes in tokens of a public tokenizer, the capacities being taken as tokens."""
+    return _packed(spark, d, token_count())
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that the packing had to cut, as they alone exceed the container."""
     return packing.oversized(p7_packing(spark, d))
@@ -234,25 +257,40 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """Per class: containers, pieces, words and the share of the space that is filled."""
-    classes = table(spark, d, "containers")
-    per = p7_packing(spark, d).groupBy("container_class", "container").agg(F.count("*").alias("pieces"), F.sum("size").alias("words"))
-    total = per.groupBy("container_class").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("words").alias("words"), F.max("words").alias("fullest"))
-    return total.join(classes, "container_class").withColumn("filled", F.col("words") / (F.col("containers") * F.col("capacity_words")))
+    return packing.fill(p7_packing(spark, d), table(spark, d, "containers").withColumnRenamed("capacity_words", "capacity"))
+
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per class what SQL can say, too: documents, pieces and words placed, containers above the capacity, documents cut without need."""
+    placed = Workspace(spark, "p7").put(p7_packing(spark, d), "placed")
+    classes = table(spark, d, "containers").withColumnRenamed("capacity_words", "capacity")
+    whole = placed.groupBy("container_class", "doc_id").agg(F.sum("size").alias("words"), F.count("*").alias("pieces")).join(classes, "container_class")
+    needless = F.sum(((F.col("pieces") > 1) & (F.col("words") <= F.col("capacity"))).cast("bigint"))
+    per = whole.groupBy("container_class").agg(F.count("*").alias("documents"), F.sum("pieces").alias("pieces"), F.sum("words").alias("words"), needless.alias("needless"))
+    over = placed.groupBy("container_class", "container").agg(F.sum("size").alias("words")).join(classes, "container_class").groupBy("container_class").agg(F.sum((F.col("words") > F.col("capacity")).cast("bigint")).alias("overfull"))
+    return per.join(over, "container_class")
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Workspace]:
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ws = Workspace(spark, "p8")
     documents = table(spark, d, "documents", "doc_id", "source", "text")
     sizes = documents.select("doc_id", category("source").alias("source"), word_count("text").alias("size")).where("doc_id is not null and source is not null and size > 0")
     items = ws.put(sizes.groupBy("doc_id").agg(F.max_by(F.struct("source", "size"), F.struct("size", "source")).alias("x")).select("doc_id", "x.*"), "sizes")
     targets = table(spark, d, "mix_targets").join(table(spark, d, "mixtures").withColumnRenamed("budget_words", "budget"), "mixture_id").withColumn("source", category("source"))
-    return items, ws.put(mixing.plan(items, targets), "plan"), ws
+    return items, ws.put(mixing.plan(items, targets, SEED), "plan")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Per mixture and source: wanted and reached sizes and shares."""
-    items, planned, ws = _mixture(spark, d)
-    return mixing.shares(planned, mixing.replicate(items, planned, SEED, ws))
+    items, planned = _mixture(spark, d)
+    return mixing.shares(planned, mixing.replicate(items, planned, SEED))
+
+
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per target what SQL can say, too: whether the cap is kept, and whether the size is right to two documents."""
+    goal = F.least(F.col("wanted"), F.col("max_repeats") * F.col("available").cast("double"))
+    near = F.abs(F.col("taken") - goal) <= 2 * F.col("largest")
+    return p8_shares(spark, d).select("mixture_id", "source", "available", F.round("wanted", 6).alias("wanted"), "short", (F.col("most_copies") <= F.col("max_repeats")).alias("cap_kept"), (near | (goal == 0)).alias("size_right"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -262,8 +300,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mixtures themselves, one row per copy, globally shuffled."""
-    items, planned, ws = _mixture(spark, d)
-    return mixing.shuffled(mixing.replicate(items, planned, SEED, ws), SEED)
+    items, planned = _mixture(spark, d)
+    return mixing.shuffled(mixing.replicate(items, planned, SEED), SEED)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -281,5 +319,5 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_nested_sample, p2_growth, p3_found, p4_found, p4_report, p4_sample, p4_drawn, p5_found, p5_assignments, p5_balance, p6_found, p6_counts, p7_found, p7_packing, p7_fill, p8_found, p8_shares, p8_mixture, p9_found, p9_composition)
+    for f in (p1_found, p1_digests, p2_found, p2_nested_sample, p2_growth, p3_found, p4_found, p4_report, p4_sample, p4_drawn, p5_found, p5_assignments, p5_balance, p6_found, p6_counts, p7_found, p7_packing, p7_fill, p7_audit, p7_tokens, p8_found, p8_shares, p8_audit, p8_mixture, p9_found, p9_composition)
 }
