@@ -46,13 +46,11 @@ from plumbline.session import Workspace
 WINDOW, SMALLEST, AVERAGE, LARGEST = 16, 16, 32, 128
 #: How many bits near perceptual hashes differ in at most.
 BITS_APART = 3
-_CHUNKS = "kind string, content_id binary, bytes bigint, chunk bigint, chunk_bytes int"
-#: The tables of a folder; ``batch`` is their partition.
+#: The tables of a folder; ``batch`` is their partition, ``first`` the batch in which a record came first, ``no`` a chunk's number in its content.
 TABLES = {
-    "members": "kind string, key string, content_id binary",
-    "contents": "kind string, content_id binary",
-    "chunks": _CHUNKS,
-    "marks": "kind string, key string, bits bigint",
+    "members": "kind string, key string, content_id binary, first bigint",
+    "chunks": "kind string, content_id binary, bytes bigint, no int, chunk bigint, chunk_bytes int",
+    "marks": "kind string, key string, bits bigint, first bigint",
     "blocks": "kind string, bits bigint, block_key bigint",
 }
 
@@ -126,16 +124,17 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contents = [c.encode("utf-8", "surrogatepass") for c in batch.column("content").to_pylist()]
         lengths = np.fromiter((len(c) for c in contents), np.int64, len(contents))
         whole = np.frombuffer(b"".join(contents), np.uint8)
-        rows, chunk, size = [], [], []
+        rows, number, chunk, size = [], [], [], []
         for i, ends in enumerate(cut_points(lengths, whole)):
-            for h, n in _hashed(contents[i], ends):
+            for no, (h, n) in enumerate(_hashed(contents[i], ends)):
                 rows.append(i)
+                number.append(no)
                 chunk.append(h)
                 size.append(n)
         take = pa.array(rows, pa.int64())
         names = [n for n in batch.schema.names if n != "content"]
-        made = [pa.array(lengths).take(take), pa.array(chunk, pa.int64()), pa.array(size, pa.int32())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in names), *made], names=[*names, "bytes", "chunk", "chunk_bytes"])
+        made = [pa.array(lengths).take(take), pa.array(number, pa.int32()), pa.array(chunk, pa.int64()), pa.array(size, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in names), *made], names=[*names, "bytes", "no", "chunk", "chunk_bytes"])
 
 
 def content_id(content: Column) -> Column:
@@ -145,7 +144,7 @@ def content_id(content: Column) -> Column:
 
 def cut(contents: DataFrame) -> DataFrame:
     """The chunk rows of (kind, content_id, content, batch)."""
-    return contents.select("kind", "content_id", "batch", "content").mapInArrow(_cut_batches, "kind string, content_id binary, batch bigint, bytes bigint, chunk bigint, chunk_bytes int")
+    return contents.select("kind", "content_id", "batch", "content").mapInArrow(_cut_batches, "kind string, content_id binary, batch bigint, bytes bigint, no int, chunk bigint, chunk_bytes int")
 
 
 class ChunkTable:
@@ -170,32 +169,40 @@ class ChunkTable:
     def _store(self, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/{name}")
 
-    def append(self, deliveries: DataFrame, marks: DataFrame | None = None) -> DataFrame:
-        """Takes batches in; returns the chunk rows of all their contents.
+    def append(self, deliveries: DataFrame, marks: DataFrame | None = None) -> tuple[list[int], DataFrame]:
+        """Takes whole batches in; returns which they are, and (kind, content_id, content, batch) of their contents.
 
         ``deliveries``: (kind, key, content, batch), one row per delivered content;
         ``marks``: (kind, key, bits, batch), 64-bit hashes of records that
-        ``deliveries`` names, too. Both hold whole batches.
+        ``deliveries`` names, too. Batches are appended in their order; a record that an
+        earlier batch brought keeps that batch as its ``first``.
         """
         self._runs += 1
         ws, run = self.workspace, self._runs
-        known = deliveries.where("key is not null and batch is not null").select("kind", "key", F.nullif("content", F.lit("")).alias("content"), F.col("batch").cast("bigint").alias("batch"))
-        members = ws.put(known.distinct().withColumn("content_id", content_id(F.col("content"))), f"members-{run}")
-        mine = [r[0] for r in members.select("batch").distinct().collect()]  # a row per batch
-        contents = members.where("content is not null").groupBy("kind", "content_id").agg(F.first("content").alias("content"), F.min("batch").alias("batch"))
-        chunks = ws.put(cut(contents), f"chunks-{run}")
-        others = self.rows("contents").where(~F.col("batch").isin(mine)).select("kind", "content_id")
-        fresh = chunks.join(others, ["kind", "content_id"], "left_anti")
-        self._store("chunks", fresh)
-        self._store("contents", chunks.select("kind", "content_id", "batch").distinct().join(others, ["kind", "content_id"], "left_anti"))
-        self._store("members", members.drop("content"))
+        named = deliveries.where("key is not null and batch is not null").select("kind", "key", F.nullif("content", F.lit("")).alias("content"), F.col("batch").cast("bigint").alias("batch"))
+        rows = ws.put(named.withColumn("content_id", content_id(F.col("content"))), f"deliveries-{run}")
+        mine = sorted(r[0] for r in rows.select("batch").distinct().collect())  # a row per batch
+        other = lambda name: self.rows(name).where(~F.col("batch").isin(mine))
+
+        mentioned = rows.select("kind", "key", F.col("batch").alias("first")).unionByName(other("members").select("kind", "key", "first"))
+        firsts = mentioned.groupBy("kind", "key").agg(F.min("first").alias("first"))
+        self._store("members", rows.select("kind", "key", "content_id", "batch").distinct().join(firsts, ["kind", "key"]))
+
+        contents = rows.where("content is not null").groupBy("kind", "content").agg(F.min("batch").alias("batch")).withColumn("content_id", content_id(F.col("content")))
+        stored = other("chunks").where("no = 0").select("kind", "content_id")
+        self._store("chunks", cut(contents.join(stored, ["kind", "content_id"], "left_anti")))
+
         if marks is not None:
-            marked = ws.put(marks.where("key is not null and batch is not null and bits is not null").select("kind", "key", "bits", F.col("batch").cast("bigint").alias("batch")).distinct(), f"marks-{run}")
-            numbers = marked.groupBy("kind", "bits").agg(F.min("batch").alias("batch"))
-            seen = self.rows("marks").where(~F.col("batch").isin(mine)).select("kind", "bits")
-            self._store("blocks", numbers.join(seen, ["kind", "bits"], "left_anti").select("kind", "bits", F.explode(block_keys(F.col("bits"), BITS_APART)).alias("block_key"), "batch"))
-            self._store("marks", marked)
-        return chunks
+            known = marks.where("key is not null and batch is not null and bits is not null").select("kind", "key", "bits", F.col("batch").cast("bigint").alias("batch")).distinct()
+            first = self.rows("members").where(F.col("batch").isin(mine)).select("kind", "key", "first").distinct()
+            numbers = known.groupBy("kind", "bits").agg(F.min("batch").alias("batch"))
+            self._store("blocks", numbers.join(other("marks").select("kind", "bits"), ["kind", "bits"], "left_anti").select("kind", "bits", F.explode(block_keys(F.col("bits"), BITS_APART)).alias("block_key"), "batch"))
+            self._store("marks", known.join(first, ["kind", "key"]))
+        return mine, contents
+
+    def forget_deliveries(self) -> None:
+        """Deletes the rows that the last append was read from; its contents cannot be read any more."""
+        self.workspace.drop(f"deliveries-{self._runs}")
 
     def content_pairs(self, chunks: DataFrame, coverage: float = 1.0, exact: bool = False) -> DataFrame:
         """(kind, new, old, covered): contents of appended ``chunks`` and stored contents that share enough bytes.
@@ -230,34 +237,26 @@ class ChunkTable:
         stored = self.rows("blocks").select("kind", F.col("bits").alias("bits_r"), "block_key")
         return agreeing(probe.join(stored, ["kind", "block_key"]), BITS_APART).select("kind", F.col("bits_l").alias("new"), F.col("bits_r").alias("old"))
 
-    def first_batches(self) -> DataFrame:
-        """(kind, key, first): the batch of each record."""
-        return self.rows("members").groupBy("kind", "key").agg(F.min("batch").alias("first"))
-
     def record_pairs(self, pairs: DataFrame, table: str, value: str, batches: list[int]) -> DataFrame:
-        """(kind, key_new, key_old): records of different batches, the later of which is among ``batches``.
+        """(kind, key_new, key_old): records of different batches, the later of which is among ``batches``; pairs can repeat.
 
         ``pairs``: (kind, new, old), values of which the new one was delivered in
         ``batches``; ``table`` and ``value`` say where the records of a value stand.
         """
-        owners = self.rows(table).select("kind", "key", value).where(F.col(value).isNotNull()).distinct().join(self.first_batches(), ["kind", "key"])
-        # All deliveries of a record that first came in one of the batches are among them.
-        new = owners.where(F.col("first").isin(batches)).select("kind", F.col(value).alias("new"), F.col("key").alias("key_new"), F.col("first").alias("batch_new"))
+        owners = self.rows(table).where(F.col(value).isNotNull())
+        # A record that first came in one of the batches was delivered in no earlier one.
+        new = owners.where(F.col("batch").isin(batches) & F.col("first").isin(batches)).select("kind", F.col(value).alias("new"), F.col("key").alias("key_new"), F.col("first").alias("batch_new"))
         old = owners.select("kind", F.col(value).alias("old"), F.col("key").alias("key_old"), F.col("first").alias("batch_old"))
         met = pairs.select("kind", "new", "old").join(new, ["kind", "new"]).join(old, ["kind", "old"]).where("batch_old < batch_new and key_old <> key_new")
-        return met.select("kind", "key_new", "key_old").distinct()
+        return met.select("kind", "key_new", "key_old")
 
     def ingest(self, deliveries: DataFrame, marks: DataFrame | None = None, coverage: float = 1.0, exact: bool = False) -> DataFrame:
         """Appends new batches and returns (kind, key_new, key_old), what they repeat of each other and of all earlier ones."""
-        chunks = self.append(deliveries, marks)
-        batches = [r[0] for r in self.workspace.get(f"members-{self._runs}", self._like()).select("batch").distinct().collect()]
-        found = self.record_pairs(self.content_pairs(chunks, coverage, exact), "members", "content_id", batches)
+        batches, contents = self.append(deliveries, marks)
+        found = self.record_pairs(self.content_pairs(cut(contents), coverage, exact), "members", "content_id", batches)
         if marks is not None:
-            found = found.unionByName(self.record_pairs(self.number_pairs(batches), "marks", "bits", batches)).distinct()
-        return found
-
-    def _like(self) -> DataFrame:
-        return self.spark.createDataFrame([], "kind string, key string, content string, batch bigint, content_id binary")
+            found = found.unionByName(self.record_pairs(self.number_pairs(batches), "marks", "bits", batches))
+        return found.distinct()
 
 
 by_value()

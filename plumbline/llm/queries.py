@@ -54,6 +54,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     held = [b for b in chunks.batches() if b not in new] if lasting else []
     deliveries, marks, batch = _deliveries(spark, d), _marks(spark, d), F.col("batch")
     chunks.append(deliveries.where(~batch.isin(new + held)), marks.where(~batch.isin(new + held)))
+    chunks.forget_deliveries()
     found = chunks.ingest(deliveries.where(batch.isin(new)), marks.where(batch.isin(new)), coverage=1.0, exact=True)
     low, high = F.least("key_new", "key_old"), F.greatest("key_new", "key_old")
     return found.select(F.col("kind").alias("record_kind"), low.alias("key_a"), high.alias("key_b"))
