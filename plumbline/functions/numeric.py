@@ -50,6 +50,13 @@ def warmup_cosine(step: Column, warmup: int, total: int) -> Column:
     return F.when(at < warmup, at / float(warmup)).otherwise(fall) if warmup else fall
 
 
+def step_plan(rows: Column, batch: int, epochs: int, warmup_share: float) -> list[Column]:
+    """Steps an epoch, steps in all and steps of the warm-up, which are rounded down."""
+    each = F.ceil(rows / F.lit(float(batch))).cast("bigint")
+    total = (each * epochs).cast("bigint")
+    return [each.alias("steps_per_epoch"), total.alias("total_steps"), F.floor(total * F.lit(float(warmup_share))).cast("bigint").alias("warmup_steps")]
+
+
 def resize_geometry(width: Column, height: Column, shorter: int = 440, crop: int = 384) -> list[Column]:
     """Scaled width and height, and the offsets of the centred crop."""
     factor = F.lit(float(shorter)) / F.least(width, height)

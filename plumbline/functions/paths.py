@@ -9,7 +9,9 @@ from plumbline.functions.compare import WHITE_SPACE
 from plumbline.functions.hashing import joined_digest
 
 #: Suffixes that a stored picture keeps (fixed values).
-SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp")
+SUFFIXES = (".avif", ".jpeg", ".jpg", ".png", ".webp")
+#: What an error without a message says (fixed value).
+NO_MESSAGE = "Local model operation failed."
 
 
 def unsafe_path(path: Column) -> Column:
@@ -37,18 +39,22 @@ def generator_of(file_name: Column, label: Column) -> Column:
 
 
 def safe_segment(text: Column) -> Column:
-    """A text as one path segment: other characters than letters, digits, '.', '_', '-' and space become '_'."""
-    return F.btrim(F.regexp_replace(text, r"[^A-Za-z0-9._ -]+", "_"), F.lit(" ."))
+    """A text as one path segment: other characters than letters, digits, '.', '_', '-' and space become '_'.
+
+    A text of which nothing is left is an error, null stays null.
+    """
+    clean = F.btrim(F.regexp_replace(text, r"[^A-Za-z0-9._ -]+", "_"), F.lit(" ."))
+    return F.when(clean == "", F.raise_error(F.concat(F.lit("unsafe path segment: "), text)).cast("string")).otherwise(clean)
 
 
 def stored_suffix(file_name: Column) -> Column:
-    suffix = F.lower(F.regexp_extract(file_name, r"(\.[^./]+)$", 1))
+    suffix = F.lower(F.regexp_extract(file_name, r"[^/](\.[^./]+)$", 1))
     return F.when(suffix.isin(*SUFFIXES), suffix).otherwise(F.lit(".img"))
 
 
 def entry_path(file_name: Column, label: Column, content_type: Column, generator: Column, seed: str) -> Column:
-    """label/type[/generator]/digest+suffix, the digest being that of the selection."""
-    return F.concat(safe_segment(label), F.lit("/"), safe_segment(content_type), F.coalesce(F.concat(F.lit("/"), safe_segment(generator)), F.lit("")), F.lit("/"), joined_digest(seed, file_name), stored_suffix(file_name))
+    """ai or real/type[/generator]/digest+suffix, the digest being that of the selection."""
+    return F.concat(F.when(label == "1_fake", "ai").otherwise("real"), F.lit("/"), safe_segment(content_type), F.coalesce(F.concat(F.lit("/"), safe_segment(generator)), F.lit("")), F.lit("/"), joined_digest(seed, file_name), stored_suffix(file_name))
 
 
 def percent_quoted(text: Column, keep_slash: bool) -> Column:
@@ -99,7 +105,14 @@ def error_code(message: Column) -> Column:
 
 
 def error_message(message: Column, limit: int = 240) -> Column:
-    return F.substring(F.btrim(message, F.lit(WHITE_SPACE)), 1, limit)
+    """The trimmed and shortened message; NO_MESSAGE if nothing is left."""
+    text = F.btrim(message, F.lit(WHITE_SPACE))
+    return F.when(text != "", F.substring(text, 1, limit)).otherwise(NO_MESSAGE)
+
+
+def immutable_revision(revision: Column) -> Column:
+    """Whether a revision is a commit's 40 or 64 lower-case hex digits."""
+    return F.coalesce(revision.rlike(r"\A[0-9a-f]{40}([0-9a-f]{24})?\z"), F.lit(False))
 
 
 def result_label(status: Column, confidence: Column, message: Column) -> Column:

@@ -2,9 +2,8 @@
 
 Both fits see a row only as (feature, label), so equal rows are first combined into
 weights on the cluster; the iteration then runs in one task on distinct pairs. Where
-features are continuous that table is as long as the data, so ``quantum`` may round the
-feature first (documented, off by default); ``newton_distributed`` instead keeps all
-rows on the cluster and does one small aggregate per step.
+features are so continuous that these are more than ROWS_IN_TASK, the rows stay on the
+cluster and every step is one small aggregate.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import bce_of_logit, sigmoid
+
 STEPS, RATE = 2000, 0.03
 RIDGE, MOST_STEPS, TOLERANCE, LEAST_SCALE, HALVINGS = 1e-8, 100, 1e-10, 1e-12, 60
 _FIT = "scale double, bias double"
@@ -32,16 +33,33 @@ def fit_balanced(feature: np.ndarray, label: np.ndarray, weight: np.ndarray) ->
     if not (label == 0).any() or not (label == 1).any():
         raise ValueError("both classes are needed")
     half = np.where(label == 1, 0.5 / weight[label == 1].sum(), 0.5 / weight[label == 0].sum()) * weight
+
+    def pull(scale: float, bias: float) -> tuple[float, float]:
+        error = half * (_sigmoid(scale * feature + bias) - label)
+        return float(error @ feature), float(error.sum())
+
+    return descend(pull)
+
+
+def descend(pull: Callable[[float, float], tuple[float, float]], steps: int = STEPS) -> tuple[float, float]:
+    """Gradient steps from scale 1 and bias 0; ``pull`` gives the derivatives by the scale and the bias."""
     log_scale = bias = 0.0
-    for _ in range(STEPS):
+    for _ in range(steps):
         scale = math.exp(log_scale)
-        pull = half * (_sigmoid(scale * feature + bias) - label)
-        down, aside = float(pull @ feature) * scale, float(pull.sum())
-        log_scale = min(6.0, max(-6.0, log_scale - RATE * down))
+        down, aside = pull(scale, bias)
+        log_scale = min(6.0, max(-6.0, log_scale - RATE * down * scale))
         bias = min(20.0, max(-20.0, bias - RATE * aside))
     return math.exp(log_scale), bias
 
 
+def _usable(a: float, b: float, norm: float) -> tuple[float, float]:
+    """Scale and bias for the logits as they were before they were divided by ``norm``."""
+    scale = a / norm
+    if not math.isfinite(scale) or scale <= 0:
+        raise ValueError("no usable scale")
+    return scale, b
+
+
 def newton(moments: Callable[[float, float], tuple], objective: Callable[[float, float], float]) -> tuple[float, float]:
     """Newton's method with step halving for a ridge-regularised logistic fit; returns scale and bias.
 
@@ -86,18 +104,20 @@ def fit_newton(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
         z = a * u + b
         return float(w @ (np.maximum(z, 0) - z * label + np.log1p(np.exp(-np.abs(z))))) + RIDGE / 2 * (a * a + b * b)
 
-    a, b = newton(moments, objective)
-    scale = a / norm
-    if not math.isfinite(scale) or scale <= 0:
-        raise ValueError("no usable scale")
-    return scale, b
+    return _usable(*newton(moments, objective), norm)
+
+
+#: Up to so many distinct (feature, label) rows are fitted in one task; more stay on the cluster.
+ROWS_IN_TASK = 2_000_000
 
 
-def fitted(df: DataFrame, feature: str, method: str, quantum: float | None = None) -> DataFrame:
-    """One row (scale, bias); ``method`` is 'balanced' or 'newton'."""
+def fitted(df: DataFrame, feature: str, method: str, rows_in_task: int = ROWS_IN_TASK) -> DataFrame:
+    """One row (scale, bias); ``method`` is 'balanced' or 'newton'. Both ways of computing use all rows and agree to rounding."""
     fit = {"balanced": fit_balanced, "newton": fit_newton}[method]
-    value = F.col(feature) if quantum is None else F.round(F.col(feature) / quantum) * quantum
-    combined = df.groupBy(value.alias("x"), F.col("label").alias("y")).agg(F.count("*").alias("w"))
+    combined = df.groupBy(F.col(feature).alias("x"), F.col("label").alias("y")).agg(F.count("*").alias("w"))
+    if combined.limit(rows_in_task + 1).count() > rows_in_task:
+        found = {"balanced": balanced_distributed, "newton": newton_distributed}[method](df, feature)
+        return df.sparkSession.createDataFrame([found], _FIT)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["x", "y"])
@@ -107,22 +127,41 @@ def fitted(df: DataFrame, feature: str, method: str, quantum: float | None = Non
     return combined.groupBy().applyInPandas(solve, _FIT)
 
 
+def _class_sizes(df: DataFrame) -> dict[int, int]:
+    sizes = {r["label"]: r["count"] for r in df.where("label in (0, 1)").groupBy("label").count().collect()}  # two rows
+    if len(sizes) < 2:
+        raise ValueError("both classes are needed")
+    return sizes
+
+
+def balanced_distributed(df: DataFrame, feature: str, steps: int = STEPS) -> tuple[float, float]:
+    """As the 'balanced' fit, with both sums of every step taken on the cluster, over columns kept in memory or on disk."""
+    sizes = _class_sizes(df)
+    half = F.when(F.col("y") == 1, 0.5 / sizes[1]).otherwise(0.5 / sizes[0])
+    rows = df.select(F.col(feature).cast("double").alias("x"), F.col("label").alias("y")).withColumn("half", half).persist()
+
+    def pull(scale: float, bias: float) -> tuple[float, float]:
+        error = F.col("half") * (sigmoid(F.lit(scale) * F.col("x") + F.lit(bias)) - F.col("y"))
+        return tuple(rows.agg(F.sum(error * F.col("x")), F.sum(error)).first())
+
+    try:
+        return descend(pull, steps)
+    finally:
+        rows.unpersist()
+
+
 def newton_distributed(df: DataFrame, feature: str) -> tuple[float, float]:
     """As the 'newton' fit, with every sum taken on the cluster: about two small jobs a step."""
+    _class_sizes(df)
     norm = max(1.0, df.agg(F.max(F.abs(feature))).first()[0] or 0.0)
     u, y = F.col(feature) / norm, F.col("label").cast("double")
 
     def moments(a: float, b: float) -> tuple:
-        from plumbline.functions.numeric import sigmoid
-
         p = sigmoid(a * u + b)
         v = p * (1 - p)
         return tuple(df.agg(F.avg((p - y) * u), F.avg(p - y), F.avg(v * u * u), F.avg(v * u), F.avg(v)).first())
 
     def objective(a: float, b: float) -> float:
-        from plumbline.functions.numeric import bce_of_logit
-
         return df.agg(F.avg(bce_of_logit(a * u + b, y))).first()[0] + RIDGE / 2 * (a * a + b * b)
 
-    a, b = newton(moments, objective)
-    return a / norm, b
+    return _usable(*newton(moments, objective), norm)

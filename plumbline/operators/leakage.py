@@ -25,9 +25,22 @@ def overlap(training: DataFrame, holdout: DataFrame, check: str) -> DataFrame:
     return held.join(values(training, columns), "value").select("holdout_id", "value")
 
 
+def prior_overlap(prior: DataFrame, new: DataFrame, show: int = 3) -> DataFrame:
+    """(content_sha256): the smallest few contents of a new holdout that any prior one has."""
+    return new.select("content_sha256").where("content_sha256 is not null").distinct().join(prior.select("content_sha256").distinct(), "content_sha256", "left_semi").orderBy("content_sha256").limit(show)
+
+
+def assignment_check(ids: DataFrame, assignments: DataFrame, split: str) -> DataFrame:
+    """(sample_id, problem): predictions whose sample has no assignment or one to another split."""
+    found = ids.select("sample_id").join(assignments.select("sample_id", F.col("split").alias("problem")), "sample_id", "left")
+    return found.where(F.col("problem").isNull() | (F.col("problem") != split)).select("sample_id", F.coalesce("problem", F.lit("missing")).alias("problem"))
+
+
 def first_leak(training: DataFrame, holdout: DataFrame) -> DataFrame:
     """The one row that an audit stops at: first holdout, first check, smallest value. ``holdout`` carries holdout_order."""
     order = holdout.groupBy("holdout_id").agg(F.min("holdout_order").alias("holdout_order"))
+    if not order.limit(1).collect():
+        raise ValueError("no holdout is registered")
     found = None
     for i, check in enumerate(CHECKS):
         rows = overlap(training, holdout, check).groupBy("holdout_id").agg(F.min("value").alias("value")).select("holdout_id", F.lit(i).cast("bigint").alias("check_order"), F.lit(check).alias("check_name"), "value")

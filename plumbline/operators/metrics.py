@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import THRESHOLD, bce_of_logit
 from plumbline.operators.ranking import below_and_equal
+from plumbline.operators.validate import require_empty
 
 BINS = 15
 
@@ -29,6 +30,29 @@ def confusion(df: DataFrame, score: Column, threshold: float = THRESHOLD) -> Dat
     return rates(df.agg(F.count("*").alias("count"), *counts(score >= F.lit(threshold))))
 
 
+def frozen_threshold(threshold: float) -> float:
+    """The threshold, if it is the one that results are published for."""
+    if threshold != THRESHOLD:
+        raise ValueError(f"the threshold is fixed at {THRESHOLD}")
+    return threshold
+
+
+def balanced_accuracy(df: DataFrame, score: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """One row: the balanced accuracy of a score. Bad labels, scores that are no numbers and a missing class are errors."""
+    if not 0 < threshold < 1:
+        raise ValueError("the threshold must lie between 0 and 1")
+    finite = F.coalesce(~F.isnan(score) & (F.abs(score) < float("inf")), F.lit(False))
+    require_empty(df.where(~F.coalesce(F.col("label").isin(0, 1), F.lit(False)) | ~finite).select("label", score.alias("score")), "a label or score")
+    found = confusion(df, score, threshold)
+    require_empty(found.where("balanced_accuracy is null"), "both classes are needed")
+    return found.select("balanced_accuracy")
+
+
+def weighted_mean(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """One row: the mean of ``value`` weighted by ``weight``; null if there is no weight."""
+    return df.agg((F.sum(F.col(value) * F.col(weight)) / F.nullif(F.sum(weight).cast("double"), F.lit(0.0))).alias("mean"))
+
+
 def by_source(df: DataFrame, score: Column, threshold: float = THRESHOLD) -> DataFrame:
     """Counts and rates per source; where a source lacks a class, the balanced accuracy takes the overall rate for it.
 

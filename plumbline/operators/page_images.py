@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.compare import WHITE_SPACE
-from plumbline.functions.paths import canonical_source
+from plumbline.functions.paths import canonical_source, error_code, error_message
 
 #: Limits of one image: bytes, pixels a side, pixels (fixed values).
 MOST_BYTES, MOST_SIDE, MOST_PIXELS = 20 * 1024 * 1024, 8192, 16 * 1024 * 1024
@@ -53,9 +54,46 @@ def within_limits(size: Column, width: Column, height: Column) -> Column:
 
 
 def merge_results(requests: DataFrame, scored: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Results of allowed and blocked images, one per request, carrying the request's place."""
+    """Results of allowed and blocked images with ``place``, the request's number on its page, to order them by."""
     both = scored.unionByName(blocked, allowMissingColumns=True)
-    return requests.join(both, ["page_id", "id"])
+    return requests.join(both, ["page_id", "id"]).withColumn("place", F.substring_index("id", "-", -1).cast("bigint"))
+
+
+def fan_out(images: DataFrame, plan: DataFrame, results: DataFrame) -> DataFrame:
+    """(page_id, pos, id, status): the one result of a source given to every image that shows it."""
+    placed = elements(images).where("source is not null").join(plan.select("page_id", "source", "id"), ["page_id", "source"])
+    return placed.join(results.select("page_id", "id", "status"), ["page_id", "id"]).select("page_id", "pos", "id", "status")
+
+
+class _Images(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str]] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "img":
+            named = {k: v or "" for k, v in reversed(attrs)}  # of a repeated attribute the first counts
+            self.found.append((named.get("src", ""), named.get("alt", "")))
+
+
+def html_images(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, current_src, src, alt): the img elements of ``html`` in document order, from 0.
+
+    A parsed page has no current source yet, so that is empty. Null pages have no images.
+    """
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, pos bigint, current_src string, src string, alt string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page, html in zip(batch["page_id"], batch["html"], strict=True):
+                parser = _Images()
+                parser.feed(html or "")
+                parser.close()
+                rows.extend((page, i, "", src, alt) for i, (src, alt) in enumerate(parser.found))
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "current_src", "src", "alt"])
+
+    return pages.select("page_id", "html").mapInPandas(run, schema)
 
 
 def unavailable(batch: pd.DataFrame) -> list[tuple]:
@@ -82,15 +120,16 @@ def score(df: DataFrame, keys: list[str], make_scorer: Callable[[], Scorer] = la
                     try:
                         rows.extend(scorer(batch.iloc[i : i + 1]))
                     except Exception as error:
-                        text = str(error).strip()[:240]
-                        code = "IMAGE_DECODE_FAILED" if "tensor" in text.lower() or "decode" in text.lower() else "MODEL_INFERENCE_FAILED"
-                        rows.append(("error", None, code, text))
+                        rows.append(("error", None, None, str(error)))
             out = batch[keys].reset_index(drop=True)
             for n, name in enumerate(("status", "confidence", "code", "message")):
                 out[name] = pd.Series([r[n] for r in rows], dtype="float64" if name == "confidence" else "object")
             yield out
 
-    return df.mapInPandas(run, schema)
+    # What a failure means is said once, by the column functions.
+    failed = (F.col("status") == "error") & F.col("code").isNull()
+    rows = df.mapInPandas(run, schema).withColumn("message", F.when(failed, error_message(F.coalesce("message", F.lit("")))).otherwise(F.col("message")))
+    return rows.withColumn("code", F.when(failed, error_code(F.col("message"))).otherwise(F.col("code")))
 
 
 def linear_scorer(weights: list[float], bias: float = 0.0, column: str = "embedding") -> Callable[[], Scorer]:

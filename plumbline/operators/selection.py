@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import joined_digest
 from plumbline.operators.ranking import digest_rank
+from plumbline.operators.validate import duplicates, require_empty, unknown_keys
 
 
 def best_of(df: DataFrame, stratum: list[str], key: str, digest: Column, most: int) -> DataFrame:
@@ -33,6 +34,7 @@ def shortfall(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
 
 def balanced_strata(rows: DataFrame, content_types: list[str], k: int, seed: str) -> DataFrame:
     """The first k file names of every requested content type and label."""
+    check_seed(seed)
     if not content_types or len(set(content_types)) != len(content_types):
         raise ValueError("content types must be named once each")
     asked = rows.where(F.col("content_type").isin(*content_types) & F.col("label").isin("0_real", "1_fake"))
@@ -50,6 +52,7 @@ def generator_strata(rows: DataFrame, content_types: list[str], generators: list
 
     ``rows`` carries generator_family. Fakes of other generators are left out.
     """
+    check_seed(seed)
     if not generators or len(set(generators)) != len(generators):
         raise ValueError("generators must be named once each")
     quotas = [(c, "1_fake", g, rotating_quota(k, len(generators), i, j)) for i, c in enumerate(content_types) for j, g in enumerate(generators)]
@@ -61,8 +64,36 @@ def generator_strata(rows: DataFrame, content_types: list[str], generators: list
     return best_of(placed, ["content_type", "label", "slot"], "file_name", joined_digest(seed, F.col("file_name")), k).where("rank <= quota").drop("quota", "slot")
 
 
+def hash_slice(rows: DataFrame, key: str, n: int, seed: str, name: str = "slice") -> DataFrame:
+    """(key): the first n distinct keys by hash, the same in every run; too few keys are an error."""
+    check_seed(seed)
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    if keys.limit(n).count() < n:
+        raise ValueError(f"fewer than {n} keys")
+    return keys.orderBy(joined_digest(seed, name, F.col(key)), key).limit(n)
+
+
+def eligible(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not excluded. Excluded keys that no row has should be an error; see ``unknown_keys``."""
+    return rows.join(excluded.select(key).distinct(), key, "left_anti")
+
+
+def check_seed(seed: str) -> None:
+    if not seed:
+        raise ValueError("the seed must not be empty")
+
+
+def quota_violations(rows: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """(rule, key): repeated keys, sources that have no quota, and sources with fewer rows than theirs."""
+    wanted = rows.sparkSession.createDataFrame(sorted(quotas.items()), "source string, quota bigint")  # a row per source
+    found = duplicates(rows, ["key"])
+    found = found.unionByName(unknown_keys(rows, "source", wanted).select(F.lit("source without quota").alias("rule"), F.col("source").alias("key")))
+    return found.unionByName(shortfall(rows, wanted, ["source"]).select(F.lit("too few rows").alias("rule"), F.col("source").alias("key")))
+
+
 def source_quotas(rows: DataFrame, quotas: dict[str, int], seed: str, reserve: int = 0) -> DataFrame:
-    """The first quota (plus ``reserve``) rows of each source by hash rank."""
+    """The first quota (plus ``reserve``) rows of each source by hash rank. ``quota_violations`` tells what is wrong with the rows."""
+    check_seed(seed)
     wanted = rows.sparkSession.createDataFrame(sorted(quotas.items()), "source string, quota bigint")  # a row per source
     digest = joined_digest(seed, F.col("source"), F.col("key"))
     ranked = best_of(rows.join(F.broadcast(wanted), "source"), ["source"], "key", digest, max(quotas.values()) + reserve)
@@ -110,13 +141,17 @@ def balanced_epoch(samples: DataFrame, epoch: int, seed: str) -> DataFrame:
     """(position, sample_id, label): both classes in turn, the smaller one repeated until it is as long."""
     ranked = digest_rank(samples.select("sample_id", "label", joined_digest(seed, "balanced", epoch, F.col("label"), F.col("sample_id")).alias("digest")), ["label"], "digest", ["sample_id"])
     sizes = samples.groupBy("label").agg(F.count("*").alias("n"))
-    target = sizes.agg(F.max("n").alias("target"), F.count("*").alias("classes"))
-    each = ranked.join(F.broadcast(sizes), "label").crossJoin(F.broadcast(target))  # two rows and one row
-    turns = F.sequence(F.col("rank") - 1, F.col("target") - 1, F.col("n"))
-    first = epoch % 2
-    position = 2 * F.col("turn") + F.when(F.col("label") == first, 0).otherwise(1)
-    rows = each.where("classes = 2").withColumn("turn", F.explode(turns))
-    return rows.select(position.cast("bigint").alias("position"), "sample_id", "label")
+    n = {r["label"]: r["n"] for r in sizes.where("label in (0, 1)").collect()}  # two rows
+    if len(n) < 2:
+        raise ValueError("both classes are needed")
+    out = None
+    for label in (epoch % 2, 1 - epoch % 2):
+        # The turns are rows that meet the ranked records, so a record of a small class is no long array.
+        turns = samples.sparkSession.range(max(n.values())).select(F.col("id").alias("turn"), (F.col("id") % n[label] + 1).alias("rank"))
+        position = (2 * F.col("turn") + int(label != epoch % 2)).cast("bigint").alias("position")
+        rows = turns.join(ranked.where(F.col("label") == label), "rank").select(position, "sample_id", "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def best_checkpoint(candidates: DataFrame, metric: str = "bce") -> DataFrame:
@@ -124,7 +159,9 @@ def best_checkpoint(candidates: DataFrame, metric: str = "bce") -> DataFrame:
     if metric not in ("bce", "balanced_accuracy"):
         raise ValueError("metric must be bce or balanced_accuracy")
     lead = F.col("validation_bce") if metric == "bce" else -F.col("validation_balanced_accuracy")
-    return candidates.where(lead.isNotNull()).orderBy(lead, "epoch", "global_step", "checkpoint_id").limit(1)
+    require_empty(candidates.where(lead.isNull()).select("checkpoint_id"), f"no {metric}")
+    require_empty(duplicates(candidates, ["checkpoint_id"]), "repeated checkpoints")
+    return candidates.orderBy(lead, "epoch", "global_step", "checkpoint_id").limit(1)
 
 
 def running_best(candidates: DataFrame) -> DataFrame:

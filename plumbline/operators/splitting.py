@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import joined_digest
 from plumbline.operators.ranking import digest_rank
+from plumbline.operators.validate import duplicates, require_empty
 
 SPLITS = ("train", "validation", "calibration")
 
@@ -62,10 +63,16 @@ def split_counts(groups: DataFrame, ratios: tuple[float, float, float]) -> DataF
 
 
 def assign_groups(samples: DataFrame, ratios: tuple[float, float, float], seed: str) -> DataFrame:
-    """(sample_id, split): every sample inherits its group's split. Thin strata give no rows."""
+    """(sample_id, split): every sample inherits its group's split.
+
+    Repeated samples, groups with both labels and strata of fewer than three groups are errors.
+    """
     if not seed:
         raise ValueError("the seed must not be empty")
     groups = groups_of(samples)
+    require_empty(duplicates(samples, ["sample_id"]), "repeated samples")
+    require_empty(conflicting_groups(samples), "a group with both labels")
+    require_empty(thin_strata(groups), "a stratum with fewer than three groups")
     ranked = digest_rank(groups.withColumn("digest", joined_digest(seed, F.col("stratum"), F.col("provenance_group"))), ["stratum"], "digest", ["provenance_group"])
     cut = ranked.join(split_counts(groups, ratios), "stratum")
     split = F.when(F.col("rank") <= F.col("train_groups"), SPLITS[0]).when(F.col("rank") <= F.col("train_groups") + F.col("validation_groups"), SPLITS[1]).otherwise(SPLITS[2])

@@ -15,6 +15,25 @@ class ContractError(ValueError):
     """Data that break a constraint."""
 
 
+def license_allowed(decision: Column, spdx: Column) -> Column:
+    """Whether an audit allows a source: it says so, and the licence is on the list."""
+    return F.coalesce((decision == "allow") & spdx.isin(*ALLOWED_LICENCES), F.lit(False))
+
+
+#: Operators that an exported graph may use (fixed values).
+GRAPH_OPERATORS = (
+    "Add", "BatchNormalization", "Cast", "Clip", "Concat", "Constant", "ConstantOfShape", "Conv", "Div", "Erf", "Expand", "Flatten",
+    "Gather", "Gemm", "GlobalAveragePool", "Identity", "LayerNormalization", "Log", "MatMul", "Mul", "Pad", "Pow", "ReduceMean", "ReduceL2",
+    "Reshape", "Resize", "Shape", "Sigmoid", "Slice", "Sqrt", "Squeeze", "Sub", "Transpose", "Unsqueeze", "Where",
+)
+
+
+def unsupported_operators(used: DataFrame) -> DataFrame:
+    """(domain, operator): distinct operators of ``used`` that have a domain, are blank or aren't on the list."""
+    known = (F.col("domain") == "") & F.col("operator").isin(*GRAPH_OPERATORS)
+    return used.where(~F.coalesce(known, F.lit(False))).select("domain", "operator").distinct()
+
+
 def require_empty(violations: DataFrame, what: str) -> None:
     """Raises with the first violation, if there is any. Looks at one row only."""
     row = violations.limit(1).collect()

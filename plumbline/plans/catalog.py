@@ -33,7 +33,7 @@ ORACLES: dict[str, str] = {}
 SEED, DIGITS = "323", 8
 TYPES = ["food", "portrait", "street"]
 GENERATORS = ["ardent-xl", "quill-1", "lumen-2"]
-QUOTAS = {"commoncatalog-cc-by": 150, "synthetic-flux-klein": 50, "synthetic-flux-schnell": 50, "synthetic-z-image": 50}
+QUOTAS = {"commoncatalog-cc-by": 60, "synthetic-flux-klein": 20, "synthetic-flux-schnell": 20, "synthetic-z-image": 20}
 RATIOS = (0.8, 0.1, 0.1)
 PAGE = "https://synthetic-flux-klein.example/"
 
@@ -222,7 +222,9 @@ _QUOTAS = "qu(source, quota) AS (VALUES " + ", ".join(f"('{s}', {q})" for s, q i
 
 @query(_quota_sql("mo", 0), views.MONET, _QUOTAS)
 def source_quotas(spark: SparkSession, d: str) -> DataFrame:
-    return selection.source_quotas(views.monet(spark, d), QUOTAS, SEED).select("source", "key", "rank")
+    rows = views.monet(spark, d)
+    validate.require_empty(selection.quota_violations(rows, QUOTAS), "candidates")
+    return selection.source_quotas(rows, QUOTAS, SEED).select("source", "key", "rank")
 
 
 @query(_quota_sql("mo", 40), views.MONET, _QUOTAS)
@@ -234,7 +236,7 @@ def bounded_candidates(spark: SparkSession, d: str) -> DataFrame:
 def stream_topk(spark: SparkSession, d: str) -> DataFrame:
     """The candidates of ``bounded_candidates``, kept while files arrive; each delivered spelling counts."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table(spark, d, "monet_rows", "__key__", "source").schema)
-    prepare = lambda batch: batch.select(category("source").alias("source"), F.col("__key__").alias("key"))
+    prepare = lambda batch: batch.select(category("source").alias("source"), F.col("__key__").alias("key")).distinct()
     return retained(spark, f"{d}/monet_row[s].parquet", schema, prepare, QUOTAS, SEED, Workspace(spark, "topk"), 40)
 
 
@@ -298,7 +300,11 @@ def conflicting_groups(spark: SparkSession, d: str) -> DataFrame:
     views.SAMPLES, views.ONE_LABEL, _GROUPS, _COUNTS, f"rk AS (SELECT provenance_group, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {dialect.digest(repr(SEED), 'stratum', 'provenance_group')}, provenance_group) AS rank FROM gs)",
 )
 def group_splits(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.assign_groups(_one_label(spark, d), RATIOS, SEED)
+    """Strata that cannot be split are taken out first, as they are an error to the operator."""
+    rows = _one_label(spark, d)
+    groups = splitting.groups_of(rows)
+    thin = groups.join(splitting.thin_strata(groups).select("stratum"), "stratum", "left_semi").select("provenance_group")
+    return splitting.assign_groups(rows.join(thin, "provenance_group", "left_anti"), RATIOS, SEED)
 
 
 @query(
@@ -544,3 +550,6 @@ def score_batches(spark: SparkSession, d: str) -> DataFrame:
 def result_labels(spark: SparkSession, d: str) -> DataFrame:
     """F17 over the scores of ``score_batches``."""
     return score_batches(spark, d).select("vec_id", result_label_of(F.col("status"), F.col("confidence"), F.lit(None).cast("string")).alias("label"))
+
+
+from plumbline.plans import catalog_records  # noqa: E402, F401  (registers its queries here)

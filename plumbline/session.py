@@ -28,9 +28,8 @@ def get_session(master: str = "local[*]", app: str = "plumbline", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the cluster names none (tests, local mode), a temporary folder of this
-    machine is set once; on a real cluster that would not be shared, so the setting
-    is always preferred.
+    Where none is named, local mode sets a temporary folder of this machine once; on a
+    cluster that would not be shared, so there it is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         current = context.getCheckpointDir()
     return str(current).rstrip("/")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class DocumentError(ValueError):
@@ -59,23 +61,51 @@ def assignments_of(spark: SparkSession, document: dict) -> DataFrame:
     return spark.createDataFrame(sorted(assignments.items()), "sample_id string, split string")
 
 
-def write_rows(df: DataFrame, path: str | Path, head: dict, field: str, key: str) -> str:
-    """Writes a document whose list is ``df`` sorted by ``key``, and returns its digest.
+def prior_manifest(path: str | Path, dataset: str, revision: str) -> tuple[list[str], list[str]]:
+    """Sorted file names and content digests of an earlier holdout, which must be of this dataset and revision and repeat neither."""
+    document = load(path)
+    if (document.get("dataset_id"), document.get("dataset_revision")) != (dataset, revision):
+        raise DocumentError(f"{path}: another dataset or revision")
+    entries = document.get("entries")
+    if not isinstance(entries, list) or any(not isinstance(e, dict) or not isinstance(e.get("file_name"), str) or not isinstance(e.get("content_sha256"), str) for e in entries):
+        raise DocumentError(f"{path}: entries without name or content")
+    names, contents = ([e[k] for e in entries] for k in ("file_name", "content_sha256"))
+    if len(set(names)) < len(names) or len(set(contents)) < len(contents):
+        raise DocumentError(f"{path}: a name or content twice")
+    return sorted(names), sorted(contents)
 
-    Rows are streamed partition by partition, so the driver holds one partition and not
-    the whole list; the file must not exist yet.
-    """
-    digest = hashlib.sha256()
+
+def _parts(df: DataFrame, head: dict, field: str, key: str, values: bool = False) -> Iterator[bytes]:
+    """The canonical document piece by piece; the driver holds one partition and not the whole list."""
     marker = "@rows@"
     before, after = canonical({**head, field: marker}).decode().split(json.dumps(marker))
-    with Path(path).open("xb") as out:
+    yield before.encode() + b"["
+    for i, row in enumerate(df.orderBy(key).toLocalIterator()):
+        yield (b"," if i else b"") + canonical(row[key] if values else row.asDict(recursive=True))[:-1]
+    yield b"]" + after.encode()
+
+
+def rows_digest(df: DataFrame, head: dict, field: str, key: str, values: bool = False) -> str:
+    """The digest of the document that ``write_rows`` would write; with ``values`` its list holds the keys alone."""
+    digest = hashlib.sha256()
+    for data in _parts(df, head, field, key, values):
+        digest.update(data)
+    return digest.hexdigest()
 
-        def emit(data: bytes) -> None:
+
+def write_rows(df: DataFrame, path: str | Path, head: dict, field: str, key: str) -> str:
+    """Writes a document whose list is ``df`` sorted by ``key``, and returns its digest. The file must not exist yet."""
+    digest = hashlib.sha256()
+    with Path(path).open("xb") as out:
+        for data in _parts(df, head, field, key):
             digest.update(data)
             out.write(data)
-
-        emit(before.encode() + b"[")
-        for i, row in enumerate(df.orderBy(key).toLocalIterator()):
-            emit((b"," if i else b"") + canonical(row.asDict(recursive=True))[:-1])
-        emit(b"]" + after.encode())
     return digest.hexdigest()
+
+
+def partition_digest(assignments: DataFrame, split: str) -> str:
+    """The digest of the sorted sample ids that ``assignments`` (sample_id, split) gives to one split; none is an error."""
+    mine = assignments.where(F.col("split") == split).select("sample_id")
+    if not mine.limit(1).collect():
+        raise DocumentError(f"no sample in {split}")
+    return rows_digest(mine, {"schema_version": 1, "split": split}, "sample_ids", "sample_id", values=True)

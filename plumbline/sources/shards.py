@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import joined_digest
 from plumbline.functions.paths import not_a_digest
 
+#: The columns of a raw shard (fixed values).
 RAW_COLUMNS = ("__key__", "hash_sha256", "hash_perceptual", "sscd_cluster_id", "source", "license", "thumbnail")
 
 
@@ -42,3 +43,18 @@ def parse_rules(expected_source: str | None = None, approved: tuple[str, ...] =
     if approved:
         rules["source not approved"] = ~F.col("source").isin(*approved)
     return rules
+
+
+def sample_records(rows: DataFrame, contracts: DataFrame) -> DataFrame:
+    """The sample record of every raw row of an approved source; rows of other sources have none.
+
+    ``rows``: key, source, upstream_path, content_sha256, hash_sha256 and sscd_cluster_id;
+    ``contracts``: a row per source with its label and generator_family.
+    """
+    known = rows.join(contracts.select("source", "label", "generator_family"), "source")
+    folder = F.when(F.col("label") == 1, "ai").otherwise("real")
+    return known.select(
+        F.concat(F.lit("monet:"), "key").alias("sample_id"), F.concat(F.lit("monet-"), "source").alias("source_id"),
+        F.concat("upstream_path", F.lit("/"), "key", F.lit(".webp")).alias("upstream_path"), F.concat(F.lit("images/"), folder, F.lit("/"), "source", F.lit("/"), "content_sha256", F.lit(".webp")).alias("local_path"),
+        "label", "content_sha256", F.concat(F.lit("monet:sscd:"), "sscd_cluster_id").alias("provenance_group"), "generator_family", F.lit("mixed").alias("content_type"), F.col("hash_sha256").alias("upstream_sha256"),
+    )
