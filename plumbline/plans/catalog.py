@@ -530,7 +530,7 @@ def image_plan(spark: SparkSession, d: str) -> DataFrame:
 def scan_summary(spark: SparkSession, d: str) -> DataFrame:
     """Sources whose length three divides stand for those that failed."""
     images = views.page_images(spark, d)
-    plan = pages.image_plan(images)
+    plan = Workspace(spark, "summary").put(pages.image_plan(images), "plan")  # read twice
     return pages.scan_summary(images, plan, plan.select("page_id", "id", F.when(F.length("source") % 3 == 0, "error").otherwise("ok").alias("status")))
 
 

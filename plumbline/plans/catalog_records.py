@@ -13,6 +13,7 @@ from plumbline.operators import leakage, metrics, selection, validate
 from plumbline.operators import page_images as pages
 from plumbline.plans import dialect, views
 from plumbline.plans.catalog import DIGITS, PAGE, SEED, query
+from plumbline.session import Workspace
 from plumbline.sources import documents, shards
 from plumbline.sources.predictions import prediction_rules
 from plumbline.sources.tables import table
@@ -280,7 +281,7 @@ _PLAN = """pp AS (SELECT page_id, source, min(pos) AS first_pos, count(*) AS ele
 
 def _gated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     images = views.page_images(spark, d)
-    plan = pages.image_plan(images)
+    plan = Workspace(spark, "gated").put(pages.image_plan(images), "plan")  # read three times
     gate = paths.origin_gate(F.col("source"), F.lit(PAGE))
     marked = plan.withColumn("gate", gate)
     allowed = marked.where("gate = 'allow'").select("page_id", "id", F.lit("ok").alias("status"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,14 +49,16 @@ class Workspace:
     """Tables written once to the shared folder, to cut lineage and to be read several times.
 
     They survive the loss of executors, which cached or locally checkpointed data do
-    not. The folder is removed when the driver's Python ends, as the DataFrames that
-    are returned to the caller still read from it.
+    not. The DataFrames that are returned to the caller still read from the folder, so
+    it stays until the caller says ``release``, or until the driver's Python ends.
     """
 
+    open: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.close)
+        Workspace.open.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -82,3 +85,12 @@ class Workspace:
             self.drop()
         except Exception:  # the JVM may already be gone
             pass
+
+
+def release() -> None:
+    """Deletes the tables of all queries so far, whose results must have been read or written by then."""
+    while Workspace.open:
+        Workspace.open.pop().close()
+
+
+atexit.register(release)
