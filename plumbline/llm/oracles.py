@@ -21,17 +21,33 @@ def _number(*parts: str) -> str:
 
 _MONET_NEAR = _near("monet_bits", "monet_bits", "", "l.k AS ka, r.k AS kb")
 
-P1_SAMPLE_AND_MONET = f"""
+#: A picture's name in one spelling, as ``picture_names`` says in Python; marks and extensions are taken off three times at most.
+_DECODED = "url_decode(url_decode(url_decode(file_name)))"
+_PATH = f"""regexp_replace(regexp_replace(regexp_replace(lower(replace(trim({_DECODED}), chr(92), '/')), '/+', '/', 'g'), '/(\\./)+', '/', 'g'), '^(\\./|/)+', '')"""
+
+
+def _bare(stem: str) -> str:
+    for _ in range(3):
+        for pattern in (r"\.(?:jpe?g|jpe|jfif|png|webp|gif|bmp|tiff?|heic|heif|avif|img)$", r"^(?:copy(?:[ _-]*\(?\d+\)?)?[ _-]+of|kopie[ _-]+von|copie[ _-]+de)[ _-]+", r"(?:[ _-]*\(\d+\)|[ _-]+\(?(?:copy|kopie|copie)(?:[ _-]*\(?\d+\)?)?\)?|~\d*)$"):
+            stem = f"trim(regexp_replace({stem}, '{pattern}', ''))"
+    return f"regexp_replace(regexp_replace({stem}, '[\\s_.,+-]+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+P1_FOUND = f"""
 WITH s AS (SELECT {key('sample_id')} AS k, min(batch_id) AS batch FROM samples GROUP BY 1),
 sd AS (SELECT DISTINCT {key('sample_id')} AS k, unnest([{sha('content_sha256')}, {sha('upstream_sha256')}]) AS v FROM samples),
 m AS (SELECT "__key__" AS k, min(batch_id) AS batch FROM monet_rows GROUP BY 1),
 md AS (SELECT DISTINCT "__key__" AS k, {sha('hash_sha256')} AS v FROM monet_rows),
 monet_bits AS (SELECT DISTINCT "__key__" AS k, {bits('hash_perceptual')} AS b FROM monet_rows WHERE ({bits('hash_perceptual')}) IS NOT NULL),
 n AS ({_MONET_NEAR}),
+i AS (SELECT file_name AS k, min(batch_id) AS batch FROM mirage_rows GROUP BY 1),
+ip AS (SELECT k, regexp_extract(p, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(p, '([^/]*)$', 1) AS stem FROM (SELECT DISTINCT file_name AS k, {_PATH} AS p FROM mirage_rows WHERE trim(file_name) <> '')),
+id AS (SELECT k, folder || '/' || {_bare('stem')} AS v FROM ip),
 p AS (SELECT 'sample' AS kind, a.k AS ka, b.k AS kb FROM sd a JOIN sd b ON a.v = b.v AND a.k < b.k
  UNION SELECT 'monet', a.k, b.k FROM md a JOIN md b ON a.v = b.v AND a.k < b.k
- UNION SELECT 'monet', ka, kb FROM n WHERE ka < kb),
-r AS (SELECT 'sample' AS kind, * FROM s UNION ALL SELECT 'monet', * FROM m)
+ UNION SELECT 'monet', ka, kb FROM n WHERE ka < kb
+ UNION SELECT 'mirage', a.k, b.k FROM id a JOIN id b ON a.v = b.v AND a.k < b.k),
+r AS (SELECT 'sample' AS kind, * FROM s UNION ALL SELECT 'monet', * FROM m UNION ALL SELECT 'mirage', * FROM i)
 SELECT DISTINCT p.kind AS record_kind, p.ka AS key_a, p.kb AS key_b FROM p JOIN r x ON x.kind = p.kind AND x.k = p.ka JOIN r y ON y.kind = p.kind AND y.k = p.kb
 JOIN batches b ON b.batch_id = greatest(x.batch, y.batch) WHERE x.batch <> y.batch AND {key('b.state')} = 'new'
 """
@@ -61,7 +77,7 @@ tl AS (SELECT DISTINCT m, how, s, v FROM a JOIN v USING (s) WHERE split = 'train
 e AS (SELECT m, s, v::UBIGINT AS b, v FROM el WHERE how = 'perceptual'), t AS (SELECT m, s, v::UBIGINT AS b, v FROM tl WHERE how = 'perceptual')"""
 
 ORACLES = {
-    "p1_digests": P1_SAMPLE_AND_MONET,
+    "p1_found": P1_FOUND,
     "p2_found": f"""
 WITH d AS (SELECT DISTINCT draw_id, run_no, {key('record_kind')} AS record_kind, {key('record_key')} AS record_key FROM draws WHERE draw_id IS NOT NULL AND run_no IS NOT NULL),
 runs AS (SELECT DISTINCT draw_id, run_no FROM d),

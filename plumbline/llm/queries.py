@@ -60,11 +60,6 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("kind").alias("record_kind"), low.alias("key_a"), high.alias("key_b"))
 
 
-def p1_digests(spark: SparkSession, d: str) -> DataFrame:
-    """The sample and monet rows of ``p1_found``, which SQL can find as well."""
-    return p1_found(spark, d).where("record_kind <> 'mirage'")
-
-
 def _records(spark: SparkSession, d: str, upto: int | None = None) -> DataFrame:
     """(record_kind, record_key) of what arrived up to a batch, by lowest batch of each key."""
     samples = table(spark, d, "samples", "sample_id", "provenance_group", "batch_id")
@@ -272,10 +267,10 @@ def p7_audit(spark: SparkSession, d: str) -> DataFrame:
     return per.join(over, "container_class")
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, d: str, size=word_count) -> tuple[DataFrame, DataFrame]:
     ws = Workspace(spark, "p8")
     documents = table(spark, d, "documents", "doc_id", "source", "text")
-    sizes = documents.select("doc_id", category("source").alias("source"), word_count("text").alias("size")).where("doc_id is not null and source is not null and size > 0")
+    sizes = documents.select("doc_id", category("source").alias("source"), size("text").alias("size")).where("doc_id is not null and source is not null and size > 0")
     items = ws.put(sizes.groupBy("doc_id").agg(F.max_by(F.struct("source", "size"), F.struct("size", "source")).alias("x")).select("doc_id", "x.*"), "sizes")
     targets = table(spark, d, "mix_targets").join(table(spark, d, "mixtures").withColumnRenamed("budget_words", "budget"), "mixture_id").withColumn("source", category("source"))
     return items, ws.put(mixing.plan(items, targets, SEED), "plan")
@@ -287,6 +282,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(planned, mixing.replicate(items, planned, SEED))
 
 
+def p8_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The same with sizes in tokens of a public tokenizer, the budgets being taken as tokens."""
+    items, planned = _mixture(spark, d, token_count())
+    return mixing.shares(planned, mixing.replicate(items, planned, SEED))
+
+
 def p8_audit(spark: SparkSession, d: str) -> DataFrame:
     """Per target what SQL can say, too: whether the cap is kept, and whether the size is right to two documents."""
     goal = F.least(F.col("wanted"), F.col("max_repeats") * F.col("available").cast("double"))
@@ -320,5 +321,5 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_digests, p2_found, p2_nested_sample, p2_growth, p3_found, p4_found, p4_report, p4_sample, p4_drawn, p5_found, p5_assignments, p5_balance, p6_found, p6_counts, p7_found, p7_packing, p7_fill, p7_audit, p7_tokens, p8_found, p8_shares, p8_audit, p8_mixture, p9_found, p9_composition)
+    for f in (p1_found, p2_found, p2_nested_sample, p2_growth, p3_found, p4_found, p4_report, p4_sample, p4_drawn, p5_found, p5_assignments, p5_balance, p6_found, p6_counts, p7_found, p7_packing, p7_fill, p7_audit, p7_tokens, p8_found, p8_shares, p8_tokens, p8_audit, p8_mixture, p9_found, p9_composition)
 }
