@@ -97,3 +97,21 @@ def test_picture_names():
     assert len({picture_name(n) for n in same}) == 1
     assert picture_name("food/0_real/a-12.png") != picture_name("food/0_real/a-13.png")
     assert picture_name(None) is None and picture_name(" ") is None
+
+
+def test_a_lasting_table_is_not_filled_again(spark, tmp_path, monkeypatch):
+    from plumbline.llm import chunkstore, queries
+
+    folder = "/root/testdata/sf0.001"
+    once = {tuple(r) for r in queries.p1_found(spark, folder).collect()}
+    cut = []
+    append = chunkstore.ChunkTable.append
+    monkeypatch.setattr(chunkstore.ChunkTable, "append", lambda self, *a: cut.append(a[0].select("batch").distinct().count()) or append(self, *a))
+    spark.conf.set(queries.STORE, f"file://{tmp_path}/lasting")
+    try:
+        first = {tuple(r) for r in queries.p1_found(spark, folder).collect()}
+        second = {tuple(r) for r in queries.p1_found(spark, folder).collect()}
+    finally:
+        spark.conf.unset(queries.STORE)
+    assert once == first == second and once
+    assert cut == [7, 3, 0, 3]  # the accepted batches are cut in the first run only

@@ -119,3 +119,21 @@ def test_copies_of_old_documents_hardly_move(spark):
     rows = {r["source"]: r for r in mixing.shares(planned, mixing.replicate(items, planned, "s")).collect()}
     assert rows["a"]["short"] is False and rows["b"]["short"] is True and rows["b"]["taken"] == 0
     assert Counter(copies.values())[2] > 20  # some documents come twice
+
+
+def test_mixing_skips_nulls_and_takes_empty_tables(spark):
+    items = spark.createDataFrame([(1, "a", 10, "x"), (2, "a", 10, "y")], "doc_id bigint, source string, size bigint, available string")
+    targets = spark.createDataFrame([("m", "a", 0.5, 2, 40), ("m", "b", None, 2, 40), (None, "a", 0.5, 2, 40), ("n", "a", 0.0, 0, 40)], "mixture_id string, source string, target_share double, max_repeats int, budget bigint")
+    planned = mixing.plan(items.drop("available"), targets, "s")
+    assert {(r["mixture_id"], r["source"], r["short"]) for r in planned.collect()} == {("m", "a", False), ("n", "a", False)}
+    assert sum(r["size"] * r["copies"] for r in mixing.replicate(items.drop("available"), planned, "s").collect()) == 20
+    assert mixing.shares(planned, mixing.replicate(items.drop("available").limit(0), planned, "s")).count() == 2
+    assert mixing.plan(items.drop("available").limit(0), targets, "s").where("short").count() == 1
+    assert mixing.plan(items.drop("available"), targets.limit(0), "s").count() == 0
+
+
+def test_a_shuffled_mixture_is_the_same_however_rows_come(spark):
+    rows = spark.createDataFrame([("m", "a", i, 5, 1 + i % 3) for i in range(50)], "mixture_id string, source string, doc_id bigint, size bigint, copies int")
+    one = [tuple(r) for r in mixing.shuffled(rows, "s").collect()]
+    assert one == [tuple(r) for r in mixing.shuffled(rows.repartition(7), "s").collect()] and len(one) == sum(1 + i % 3 for i in range(50))
+    assert [r[2] for r in one] != sorted(r[2] for r in one)
