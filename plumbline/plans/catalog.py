@@ -154,12 +154,30 @@ def platt_gd(spark: SparkSession, d: str) -> DataFrame:
     return _fit(spark, d, "balanced").select(_near("scale"), _near("bias"))
 
 
-@query()
+#: The regularised fit: gradient, Hessian and the first of 60 halved steps that lowers the objective, until none does.
+_S = dialect.sigmoid("(a * u + b)")
+_NA, _NB = "(s.a - pow(5e-1, t) * s.da)", "(s.b - pow(5e-1, t) * s.db)"
+_NEWTON = f"""nm AS (SELECT greatest(1e0, max(abs(raw_logit))) AS m FROM pv WHERE part = 'calibration'),
+ nc AS (SELECT raw_logit / m AS u, CAST(label AS DOUBLE) AS y FROM pv, nm WHERE part = 'calibration'),
+ nt(i, a, b, moving) AS (SELECT 0, 1e0, 0e0, TRUE UNION ALL
+  SELECT i + 1, CASE WHEN small OR t IS NULL THEN a ELSE a - pow(5e-1, t) * da END, CASE WHEN small OR t IS NULL THEN b ELSE b - pow(5e-1, t) * db END, NOT small AND t IS NOT NULL FROM
+  (SELECT s.*, (SELECT min(t) FROM (SELECT t, avg({dialect.bce(f'({_NA} * u + {_NB})', 'y')}) + 5e-9 * (pow({_NA}, 2) + pow({_NB}, 2)) AS o FROM range(60) r(t), nc GROUP BY t) WHERE {_NA} >= 1e-12 AND o < s.now) AS t FROM
+   (SELECT i, a, b, now, greatest(abs(ga), abs(gb)) <= 1e-10 AS small, (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS da, (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS db FROM
+    (SELECT i, a, b, avg({dialect.bce('(a * u + b)', 'y')}) + 5e-9 * (a * a + b * b) AS now, avg(({_S} - y) * u) + 1e-8 * a AS ga, avg({_S} - y) + 1e-8 * b AS gb, avg({_S} * (1 - {_S}) * u * u) + 1e-8 AS haa, avg({_S} * (1 - {_S}) * u) AS hab, avg({_S} * (1 - {_S})) + 1e-8 AS hbb
+     FROM nt, nc WHERE moving AND i < 100 GROUP BY i, a, b)) s)),
+ nf AS (SELECT a / m AS scale, b AS bias FROM nt, nm ORDER BY i DESC LIMIT 1)"""
+_STAGES = f"""sg AS (SELECT 'uncalibrated' AS stage, raw_logit AS z, label FROM pv WHERE part = 'calibration' UNION ALL SELECT 'calibrated', scale * raw_logit + bias, label FROM pv, nf WHERE part = 'calibration'),
+ sp AS (SELECT *, {dialect.sigmoid('z')} AS p FROM sg),
+ sb AS (SELECT stage, abs(avg(p) - avg(label)) * count(*) AS gap, count(*) AS n FROM sp GROUP BY stage, least(floor(p * {metrics.BINS}), {metrics.BINS - 1})),
+ se AS (SELECT stage, sum(gap) / sum(n) AS ece FROM sb GROUP BY stage)"""
+
+
+@query(f"SELECT round(scale, {DIGITS}) AS scale, round(bias, {DIGITS}) AS bias FROM nf", views.PREDICTIONS, _NEWTON)
 def platt_newton(spark: SparkSession, d: str) -> DataFrame:
     return _fit(spark, d, "newton").select(_near("scale"), _near("bias"))
 
 
-@query()
+@query(f"SELECT stage, round(avg({dialect.bce('z', 'label')}), {DIGITS}) AS bce, any_value(round(ece, {DIGITS})) AS ece, avg(CASE WHEN (p >= {THRESHOLD}) = (label = 1) THEN 1e0 ELSE 0e0 END) AS accuracy FROM sp JOIN se USING (stage) GROUP BY stage", views.PREDICTIONS, _NEWTON, _STAGES)
 def calibration_report(spark: SparkSession, d: str) -> DataFrame:
     """(stage, bce, ece, accuracy) of the calibration part before and after the Newton fit."""
     rows, _ = _parts(spark, d)
@@ -546,7 +564,8 @@ def score_batches(spark: SparkSession, d: str) -> DataFrame:
     return pages.score(vectors, ["vec_id"], pages.linear_scorer([0.125] * width)).select("vec_id", "status", _near("confidence"))
 
 
-@query()
+# The decimal form is rounded half up, as the printed number is.
+@query(f"SELECT vec_id, format('{{:.1f}}%', CAST(round(CAST(100 * round(1 / (1 + exp(-list_sum(CAST(embedding AS DOUBLE[])) / 8)), {DIGITS}) AS DECIMAL(18, 8)), 1) AS DOUBLE)) AS label FROM embeddings")
 def result_labels(spark: SparkSession, d: str) -> DataFrame:
     """F17 over the scores of ``score_batches``."""
     return score_batches(spark, d).select("vec_id", result_label_of(F.col("status"), F.col("confidence"), F.lit(None).cast("string")).alias("label"))

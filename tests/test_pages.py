@@ -85,3 +85,14 @@ def test_nothing_else_imports_the_llm_package():
     root = Path(__file__).resolve().parents[1]
     own = [p for p in (root / "plumbline").rglob("*.py") if "llm" not in p.parts]
     assert len(own) > 20 and not [p for p in own if "plumbline.llm" in p.read_text()]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from plumbline.__main__ import main
+
+    assert main(["list"]) == 0 and "evaluate_holdout" in capsys.readouterr().out.split()
+    out = str(tmp_path / "out")
+    assert main(["run", "unsupported_ops", "/root/testdata/sf0.001", out]) == 0
+    assert spark.read.parquet(out).count() == 3
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", "x", out])
