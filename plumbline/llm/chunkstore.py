@@ -184,12 +184,15 @@ class ChunkTable:
         mine = sorted(r[0] for r in rows.select("batch").distinct().collect())  # a row per batch
         other = lambda name: self.rows(name).where(~F.col("batch").isin(mine))
 
-        mentioned = rows.select("kind", "key", F.col("batch").alias("first")).unionByName(other("members").select("kind", "key", "first"))
+        # Of history only what the batch mentions is kept: where the batch is small, its side is broadcast and history just read.
+        named_here = lambda history, new, on: history.join(new.select(*on).distinct(), on, "left_semi")
+        earlier = named_here(other("members").select("kind", "key", "first"), rows, ["kind", "key"])
+        mentioned = rows.select("kind", "key", F.col("batch").alias("first")).unionByName(earlier)
         firsts = mentioned.groupBy("kind", "key").agg(F.min("first").alias("first"))
         self._store("members", rows.select("kind", "key", "content_id", "batch").distinct().join(firsts, ["kind", "key"]))
 
         contents = rows.where("content is not null").groupBy("kind", "content").agg(F.min("batch").alias("batch")).withColumn("content_id", content_id(F.col("content")))
-        stored = other("chunks").where("no = 0").select("kind", "content_id")
+        stored = named_here(other("chunks").where("no = 0").select("kind", "content_id"), rows.where("content_id is not null"), ["kind", "content_id"])
         self._store("chunks", cut(contents.join(stored, ["kind", "content_id"], "left_anti")))
 
         if marks is not None:
