@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,18 +11,7 @@ from plumbline.plans import catalog
 from plumbline.session import get_session
 
 
-def known() -> dict[str, Callable[..., DataFrame]]:
-    """All queries; those of optional subpackages only if these are there."""
-    out = dict(catalog.QUERIES)
-    for optional in ("llm",):
-        try:
-            out |= importlib.import_module(f"plumbline.{optional}.queries").QUERIES
-        except ImportError:
-            continue
-    return out
-
-
-def main(arguments: list[str] | None = None) -> int:
+def main(arguments: list[str] | None = None, queries: dict[str, Callable[..., DataFrame]] = catalog.QUERIES) -> int:
     parser = argparse.ArgumentParser(prog="plumbline", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("list", help="names all queries")
@@ -33,7 +21,6 @@ def main(arguments: list[str] | None = None) -> int:
     run.add_argument("out", help="a folder that must not exist")
     run.add_argument("--master", default="local[*]")
     given = parser.parse_args(arguments)
-    queries = known()
     if given.command == "list":
         print("\n".join(queries))
         return 0
