@@ -240,25 +240,33 @@ class ChunkTable:
         stored = self.rows("blocks").select("kind", F.col("bits").alias("bits_r"), "block_key")
         return agreeing(probe.join(stored, ["kind", "block_key"]), BITS_APART).select("kind", F.col("bits_l").alias("new"), F.col("bits_r").alias("old"))
 
-    def record_pairs(self, pairs: DataFrame, table: str, value: str, batches: list[int]) -> DataFrame:
-        """(kind, key_new, key_old): records of different batches, the later of which is among ``batches``; pairs can repeat.
+    def record_pairs(self, pairs: DataFrame, table: str, value: str, batches: list[int], new: list[int]) -> DataFrame:
+        """(kind, key_new, key_old): records of different batches, the later of which came first in one of ``new``; pairs can repeat.
 
         ``pairs``: (kind, new, old), values of which the new one was delivered in
-        ``batches``; ``table`` and ``value`` say where the records of a value stand.
+        ``batches``, by either of the two records: an old record, too, can bring a value
+        that later ones had before. ``table`` and ``value`` say where the records of a
+        value stand.
         """
         owners = self.rows(table).where(F.col(value).isNotNull())
-        # A record that first came in one of the batches was delivered in no earlier one.
-        new = owners.where(F.col("batch").isin(batches) & F.col("first").isin(batches)).select("kind", F.col(value).alias("new"), F.col("key").alias("key_new"), F.col("first").alias("batch_new"))
-        old = owners.select("kind", F.col(value).alias("old"), F.col("key").alias("key_old"), F.col("first").alias("batch_old"))
-        met = pairs.select("kind", "new", "old").join(new, ["kind", "new"]).join(old, ["kind", "old"]).where("batch_old < batch_new and key_old <> key_new")
-        return met.select("kind", "key_new", "key_old")
-
-    def ingest(self, deliveries: DataFrame, marks: DataFrame | None = None, coverage: float = 1.0, exact: bool = False) -> DataFrame:
-        """Appends new batches and returns (kind, key_new, key_old), what they repeat of each other and of all earlier ones."""
+        side = lambda df, of, n: df.select("kind", F.col(value).alias(of), F.col("key").alias(f"key_{n}"), F.col("first").alias(f"first_{n}"))
+        met = pairs.select("kind", "new", "old").join(side(owners.where(F.col("batch").isin(batches)), "new", "a"), ["kind", "new"]).join(side(owners, "old", "b"), ["kind", "old"])
+        met = met.where("first_a <> first_b and key_a <> key_b").where(F.greatest("first_a", "first_b").isin(new))
+        later = F.col("first_a") > F.col("first_b")
+        return met.select("kind", F.when(later, F.col("key_a")).otherwise(F.col("key_b")).alias("key_new"), F.when(later, F.col("key_b")).otherwise(F.col("key_a")).alias("key_old"))
+
+    def ingest(self, deliveries: DataFrame, marks: DataFrame | None = None, coverage: float = 1.0, exact: bool = False, new: list[int] | None = None) -> DataFrame:
+        """Appends new batches and returns (kind, key_new, key_old), what they repeat of each other and of all earlier ones.
+
+        ``new`` names the batches whose records are asked for, at least those appended
+        here; batches taken in one by one give what they give together if it names all
+        of them each time.
+        """
         batches, contents = self.append(deliveries, marks)
-        found = self.record_pairs(self.content_pairs(cut(contents), coverage, exact), "members", "content_id", batches)
+        new = sorted({*batches, *(new or [])})
+        found = self.record_pairs(self.content_pairs(cut(contents), coverage, exact), "members", "content_id", batches, new)
         if marks is not None:
-            found = found.unionByName(self.record_pairs(self.number_pairs(batches), "marks", "bits", batches))
+            found = found.unionByName(self.record_pairs(self.number_pairs(batches), "marks", "bits", batches, new))
         return found.distinct()
 
 

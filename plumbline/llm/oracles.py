@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import nested_sample
+from plumbline.llm import mixing, nested_sample
 from plumbline.llm.queries import DRAWS, SEED
 from plumbline.plans.dialect import bits, cat, key, sha, words
 
@@ -76,6 +76,20 @@ el AS (SELECT DISTINCT m, how, s, v FROM a JOIN v USING (s) WHERE split <> 'trai
 tl AS (SELECT DISTINCT m, how, s, v FROM a JOIN v USING (s) WHERE split = 'train' AND v IS NOT NULL),
 e AS (SELECT m, s, v::UBIGINT AS b, v FROM el WHERE how = 'perceptual'), t AS (SELECT m, s, v::UBIGINT AS b, v FROM tl WHERE how = 'perceptual')"""
 
+_AT = f"list_transform(range(cap), lambda j: CAST(ceil(least(1e0, list_sum(list_transform(range(j + 1), lambda t: exp(t * ln({{}}) - {{}} - lgamma(t + 1))))) * {mixing.BINS}) AS BIGINT))"
+_TAKEN = "CAST(sum(size * len(list_filter({}, lambda x: bin >= x))) AS BIGINT)"
+#: Mixtures: the mean of each target by halving an interval, the limits of its copies, and the copies.
+_MIXED = f"""w AS (SELECT doc_id, {cat('source')} AS source, {words('text')} AS size FROM documents WHERE {cat('source')} IS NOT NULL AND {words('text')} > 0),
+go AS (SELECT t.mixture_id, {cat('t.source')} AS source, target_share, CAST(max_repeats AS INT) AS cap, budget_words AS budget, target_share * budget_words AS wanted, coalesce((SELECT CAST(sum(size) AS BIGINT) FROM w WHERE w.source = {cat('t.source')}), 0) AS available FROM mix_targets t JOIN mixtures USING (mixture_id)),
+it AS (SELECT mixture_id, source, doc_id, size, {_number('mixture_id', 'CAST(doc_id AS VARCHAR)')} // {2 ** (48 - mixing.BITS)} AS bin FROM w JOIN go USING (source)),
+bs(i, mixture_id, source, low, high) AS (SELECT 0, mixture_id, source, 0e0, 1073741824e0 FROM go WHERE wanted > 0 AND wanted < cap * available UNION ALL
+ SELECT i + 1, mixture_id, source, CASE WHEN got < wanted THEN mid ELSE low END, CASE WHEN got < wanted THEN high ELSE mid END FROM
+ (SELECT i, c.mixture_id, c.source, low, high, mid, wanted, {_TAKEN.format("lim")} AS got FROM (SELECT bs.*, wanted, (low + high) / 2 AS mid, {_AT.format('((low + high) / 2)', '((low + high) / 2)')} AS lim FROM bs JOIN go USING (mixture_id, source) WHERE i < 90) c JOIN it USING (mixture_id, source) GROUP BY ALL)),
+en AS (SELECT mixture_id, source, wanted, {_AT.format('low', 'low')} AS below, {_AT.format('high', 'high')} AS above FROM bs JOIN go USING (mixture_id, source) WHERE i = 90),
+ch AS (SELECT mixture_id, source, CASE WHEN wanted - {_TAKEN.format('below')} < {_TAKEN.format('above')} - wanted THEN below ELSE above END AS limits FROM en JOIN it USING (mixture_id, source) GROUP BY mixture_id, source, wanted, below, above),
+cp AS (SELECT it.*, CAST(CASE WHEN wanted <= 0 THEN 0 WHEN wanted >= cap * available THEN cap ELSE len(list_filter(limits, lambda x: bin >= x)) END AS INT) AS copies FROM it JOIN go USING (mixture_id, source) LEFT JOIN ch USING (mixture_id, source)),
+tk AS (SELECT * FROM cp WHERE copies > 0)"""
+
 ORACLES = {
     "p1_found": P1_FOUND,
     "p2_found": f"""
@@ -102,6 +116,12 @@ WITH s AS (SELECT DISTINCT {key('sample_id')} AS k, {cat('source_id')} AS source
 n AS (SELECT source_id, g, c, label, count(*) AS n FROM s WHERE k IS NOT NULL AND source_id IS NOT NULL AND c IS NOT NULL AND label IS NOT NULL GROUP BY ALL)
 SELECT t.target_id FROM sample_targets t LEFT JOIN n ON n.source_id = {cat('t.source_id')} AND n.g IS NOT DISTINCT FROM {cat('t.generator_family')} AND n.c = {cat('t.content_type')} AND n.label = t.label
 WHERE coalesce(n.n, 0) < t.target_share * t.sample_size OR coalesce(n.n, 0) < t.min_records
+""",
+    "p4_unmet": f"""
+WITH s AS (SELECT DISTINCT {key('sample_id')} AS k, {cat('source_id')} AS source_id, {cat('generator_family')} AS g, {cat('content_type')} AS c, label FROM samples),
+n AS (SELECT source_id, g, c, label, count(*) AS n FROM s WHERE k IS NOT NULL AND source_id IS NOT NULL AND c IS NOT NULL AND label IS NOT NULL GROUP BY ALL)
+SELECT t.target_id, t.target_set, round(t.target_share * t.sample_size, 6) AS wanted, coalesce(t.min_records, 0) AS min_records, coalesce(n.n, 0) AS available, round(greatest(greatest(t.target_share * t.sample_size, t.min_records) - coalesce(n.n, 0), 0), 6) AS unmet, TRUE AS within
+FROM sample_targets t LEFT JOIN n ON n.source_id = {cat('t.source_id')} AND n.g IS NOT DISTINCT FROM {cat('t.generator_family')} AND n.c = {cat('t.content_type')} AND n.label = t.label
 """,
     # Both sets can be filled here, so each comes out whole and without repeats.
     "p4_drawn": f"""
@@ -140,6 +160,14 @@ SELECT container_class, count(*) AS documents, CAST(sum(ceil(n / capacity_words)
 WITH w AS (SELECT {cat('source')} AS source, sum({words('text')}) AS n FROM documents GROUP BY 1)
 SELECT t.mixture_id, {cat('t.source')} AS source, CAST(coalesce(w.n, 0) AS BIGINT) AS available, round(t.target_share * x.budget_words, 6) AS wanted, t.target_share * x.budget_words > t.max_repeats * coalesce(w.n, 0) AS short, TRUE AS cap_kept, TRUE AS size_right
 FROM mix_targets t JOIN mixtures x USING (mixture_id) LEFT JOIN w ON w.source = {cat('t.source')}
+""",
+    "p8_mixture": f"""
+WITH RECURSIVE {_MIXED} SELECT mixture_id, source, doc_id, size, CAST(copy AS INT) AS copy, {_number("'order'", 'mixture_id', 'CAST(doc_id AS VARCHAR)', 'CAST(copy AS VARCHAR)')} AS place FROM tk, LATERAL (SELECT unnest(range(1, copies + 1)) AS copy)
+""",
+    "p8_shares": f"""
+WITH RECURSIVE {_MIXED}, su AS (SELECT mixture_id, source, CAST(sum(size * copies) AS BIGINT) AS taken, count(*) AS documents, max(copies) AS most_copies, max(size) AS largest FROM tk GROUP BY 1, 2), wh AS (SELECT mixture_id, sum(taken) AS whole FROM su GROUP BY 1)
+SELECT go.mixture_id, go.source, target_share, cap AS max_repeats, budget, available, wanted, wanted > cap * available AS short, coalesce(taken, 0) AS taken, coalesce(documents, 0) AS documents, coalesce(most_copies, 0) AS most_copies, coalesce(largest, 0) AS largest, CASE WHEN whole > 0 THEN coalesce(taken, 0) / whole ELSE 0e0 END AS share
+FROM go LEFT JOIN su ON su.mixture_id = go.mixture_id AND su.source = go.source LEFT JOIN wh ON wh.mixture_id = go.mixture_id
 """,
     "p8_found": f"""
 WITH w AS (SELECT {cat('source')} AS source, sum({words('text')}) AS n FROM documents GROUP BY 1)

@@ -132,6 +132,11 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return quota_sample.allocation(quota_sample.supply(*_p4(spark, d)))
 
 
+def p4_unmet(spark: SparkSession, d: str) -> DataFrame:
+    """Per target what SQL can say, too: wanted and available records and what its own category lacks, and that no quota exceeds it."""
+    return p4_report(spark, d).select("target_id", "target_set", F.round("wanted", 6).alias("wanted"), "min_records", "available", F.round("unmet", 6).alias("unmet"), (F.col("quota") <= F.col("available")).alias("within"))
+
+
 def p4_drawn(spark: SparkSession, d: str) -> DataFrame:
     """Per target set: its size, what its categories hold together, and what was drawn."""
     records, targets = _p4(spark, d)
@@ -321,5 +326,5 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_nested_sample, p2_growth, p3_found, p4_found, p4_report, p4_sample, p4_drawn, p5_found, p5_assignments, p5_balance, p6_found, p6_counts, p7_found, p7_packing, p7_fill, p7_audit, p7_tokens, p8_found, p8_shares, p8_tokens, p8_audit, p8_mixture, p9_found, p9_composition)
+    for f in (p1_found, p2_found, p2_nested_sample, p2_growth, p3_found, p4_found, p4_report, p4_unmet, p4_sample, p4_drawn, p5_found, p5_assignments, p5_balance, p6_found, p6_counts, p7_found, p7_packing, p7_fill, p7_audit, p7_tokens, p8_found, p8_shares, p8_tokens, p8_audit, p8_mixture, p9_found, p9_composition)
 }

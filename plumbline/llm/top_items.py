@@ -9,7 +9,9 @@ taken over what was kept.
 Within a band the rank limit comes before the anti-join, so that every task that reads
 the band first cuts each group to its own N best: what a group with a third of all rows
 sends over the network is N rows per reading task, and the anti-join and the final rank
-reuse the partitioning by group that this limit has made.
+reuse the partitioning by group that this limit has made. Spark cuts so for N up to
+``spark.sql.optimizer.windowGroupLimitThreshold`` (1,000 unless set), which a larger N
+should raise.
 
 Nulls: rows with a null group column, key or score, and NaN scores, don't count. Of a
 key's scores in a group the highest counts; repeated rows are one item. Ties go to the

@@ -115,3 +115,25 @@ def test_a_lasting_table_is_not_filled_again(spark, tmp_path, monkeypatch):
         spark.conf.unset(queries.STORE)
     assert once == first == second and once
     assert cut == [7, 3, 0, 3]  # the accepted batches are cut in the first run only
+
+
+def test_batches_one_by_one_or_together(spark, tmp_path):
+    """Redeliveries with other contents, in either order, against brute force."""
+    rng = random.Random(8)
+    texts = [f"content number {i} " * 12 for i in range(25)]
+    data = [("k", f"r{rng.randrange(40)}", rng.choice(texts), rng.randrange(1, 7), 0) for _ in range(110)]
+    numbers = [rng.getrandbits(63) for _ in range(12)]
+    marks = [("k", key, rng.choice(numbers) ^ (1 << rng.randrange(3)), batch) for _, key, _, batch, _ in data if rng.random() < 0.5]
+    first = {k: min(b for _, x, _, b, _ in data if x == k) for _, k, _, _, _ in data}
+    has = {k: ({t for _, x, t, _, _ in data if x == k}, {m for _, x, m, _ in marks if x == k}) for k in first}
+    close = lambda a, b: bool(has[a][0] & has[b][0]) or any((x ^ y).bit_count() <= 3 for x in has[a][1] for y in has[b][1])
+    wanted = {(a, b) for a in first for b in first if a != b and first[a] > first[b] and first[a] >= 4 and close(a, b)}
+    deliveries, hashes = spark.createDataFrame(data, SCHEMA), spark.createDataFrame(marks, MARKS)
+    together, single = (ChunkTable(spark, f"file://{tmp_path}/{n}", Workspace(spark, "t1")) for n in ("all", "each"))
+    for table in (together, single):
+        table.append(deliveries.where("batch < 4"), hashes.where("batch < 4"))
+    assert rows(together.ingest(deliveries.where("batch >= 4"), hashes.where("batch >= 4"), exact=True)) == wanted
+    found = set()
+    for batch in (4, 5, 6):
+        found |= rows(single.ingest(deliveries.where(f"batch = {batch}"), hashes.where(f"batch = {batch}"), exact=True, new=[4, 5, 6]))
+    assert found == wanted and wanted
