@@ -100,6 +100,11 @@ def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
     return validate.duplicates(table(spark, d, "samples", "sample_id"), ["sample_id"])
 
 
+@query("SELECT 'duplicate file_name' AS rule, file_name AS key FROM mirage_rows WHERE file_name IS NOT NULL GROUP BY file_name HAVING count(*) > 1")
+def duplicate_files(spark: SparkSession, d: str) -> DataFrame:
+    return validate.duplicates(table(spark, d, "mirage_rows", "file_name"), ["file_name"])
+
+
 @query("SELECT 'source' AS rule, vec_id::VARCHAR AS key FROM embeddings WHERE label = 3 UNION ALL SELECT 'probability_ai', vec_id::VARCHAR FROM embeddings WHERE embedding[1] < 0")
 def prediction_violations(spark: SparkSession, d: str) -> DataFrame:
     """The row contract of predictions, on vectors of which one class lacks its source and negative numbers stand for probabilities."""

@@ -16,16 +16,17 @@ class DocumentError(ValueError):
     """A document that is not what it should be."""
 
 
-def canonical(value: Any) -> bytes:
-    """Sorted keys, no spaces, ASCII escapes, one newline at the end."""
-    return (json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False) + "\n").encode("ascii")
+def canonical(value: Any, indent: int | None = None) -> bytes:
+    """Sorted keys, ASCII escapes, one newline at the end; no spaces, or lines with an indent."""
+    separators = (",", ":") if indent is None else (",", ": ")
+    return (json.dumps(value, sort_keys=True, separators=separators, indent=indent, ensure_ascii=True, allow_nan=False) + "\n").encode("ascii")
 
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def load(path: str | Path, expected_sha256: str | None = None, keys: set[str] | None = None, must_be_canonical: bool = False) -> dict:
+def load(path: str | Path, expected_sha256: str | None = None, keys: set[str] | None = None, must_be_canonical: bool = False, indent: int | None = None) -> dict:
     """Reads one document, checking the digest of its bytes, its exact keys, its version and its form."""
     data = Path(path).read_bytes()
     if expected_sha256 is not None and sha256(data) != expected_sha256:
@@ -38,11 +39,18 @@ def load(path: str | Path, expected_sha256: str | None = None, keys: set[str] |
         raise DocumentError(f"{path}: unexpected keys")
     if document.get("schema_version", 1) != 1:
         raise DocumentError(f"{path}: unknown version")
-    if must_be_canonical and canonical(document) != data:
+    if must_be_canonical and canonical(document, indent) != data:
         raise DocumentError(f"{path}: not in canonical form")
     return document
 
 
+def check_lineage(expected: dict[str, str], actual: dict[str, str]) -> None:
+    """Raises unless both name the same digests; the first three names that differ are told."""
+    wrong = sorted(n for n in expected.keys() | actual.keys() if expected.get(n) != actual.get(n))
+    if wrong:
+        raise DocumentError(f"lineage differs: {wrong[:3]}")
+
+
 def rows_of(spark: SparkSession, document: dict, field: str, schema: str) -> DataFrame:
     """A list of objects in a document as a table; every object must have exactly the schema's fields."""
     empty = spark.createDataFrame([], schema)

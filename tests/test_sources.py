@@ -31,6 +31,13 @@ def test_documents(spark, tmp_path):
     put(path, {"schema_version": 2})
     with pytest.raises(documents.DocumentError):
         documents.load(path)
+    path.write_bytes(documents.canonical(value, 2))
+    assert path.read_bytes() == (json.dumps(value, indent=2, sort_keys=True) + "\n").encode()
+    assert documents.load(path, must_be_canonical=True, indent=2) == value
+    documents.check_lineage({"a": "1"}, {"a": "1"})
+    for actual in ({"a": "2"}, {}, {"a": "1", "b": "2"}):
+        with pytest.raises(documents.DocumentError):
+            documents.check_lineage({"a": "1"}, actual)
     rows = documents.rows_of(spark, value, "samples", "a string, b int")
     assert [tuple(r) for r in rows.collect()] == [("ä", 2)]
     with pytest.raises(documents.DocumentError):
