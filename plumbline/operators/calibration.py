@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import bce_of_logit, sigmoid
+from plumbline.shipping import by_value
 
 STEPS, RATE = 2000, 0.03
 RIDGE, MOST_STEPS, TOLERANCE, LEAST_SCALE, HALVINGS = 1e-8, 100, 1e-10, 1e-12, 60
@@ -165,3 +166,6 @@ def newton_distributed(df: DataFrame, feature: str) -> tuple[float, float]:
         return df.agg(F.avg(bce_of_logit(a * u + b, y))).first()[0] + RIDGE / 2 * (a * a + b * b)
 
     return _usable(*newton(moments, objective), norm)
+
+
+by_value()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.compare import WHITE_SPACE
 from plumbline.functions.paths import canonical_source, error_code, error_message
+from plumbline.shipping import by_value
 
 #: Limits of one image: bytes, pixels a side, pixels (fixed values).
 MOST_BYTES, MOST_SIDE, MOST_PIXELS = 20 * 1024 * 1024, 8192, 16 * 1024 * 1024
@@ -159,3 +160,6 @@ def planar_pixels(df: DataFrame, keys: list[str], column: str = "rgba") -> DataF
             yield batch[keys].assign(pixels=planes)
 
     return df.mapInPandas(run, schema)
+
+
+by_value()

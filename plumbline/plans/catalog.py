@@ -90,11 +90,12 @@ _CALIBRATED = f"hits AS (SELECT pv.*, {dialect.sigmoid('(scale * ' + dialect.log
 @query(f"SELECT NULL AS source, {_WHOLE}, round(scale, {DIGITS}) AS scale, round(bias, {DIGITS}) AS bias FROM rated, fit UNION ALL SELECT {_FILLED}, round(scale, {DIGITS}), round(bias, {DIGITS}) FROM filled, fit", views.PREDICTIONS, _GD, _CALIBRATED, _ALL, _EACH)
 def evaluate_holdout(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the holdout under the fit of the calibration part: over all (source null) and per source."""
-    fitting, holdout = _parts(spark, d)
+    ws = Workspace(spark, "evaluate")
+    fitting, holdout = (ws.put(df, name) for df, name in zip(_parts(spark, d), ("calibration", "holdout"), strict=True))
     for rows, name in ((fitting, "calibration"), (holdout, "holdout")):
         validate.require_empty(validate.duplicates(rows, ["sample_id"]), f"repeated in {name}")
     validate.require_empty(leakage.shared_preview(fitting, holdout, ["sample_id"]), "in calibration and holdout")
-    fit = Workspace(spark, "evaluate").put(_fit(spark, d, "balanced"), "fit")
+    fit = ws.put(calibration.fitted(fitting.withColumn("f", logit(F.col("probability_ai"))), "f", "balanced"), "fit")
     scored = holdout.crossJoin(F.broadcast(fit)).withColumn("p", platt_of_probability(F.col("probability_ai"), F.col("scale"), F.col("bias")))
     whole = metrics.confusion(scored, F.col("p"))
     validate.require_empty(whole.where("balanced_accuracy is null"), "both classes are needed")
@@ -240,7 +241,7 @@ _QUOTAS = "qu(source, quota) AS (VALUES " + ", ".join(f"('{s}', {q})" for s, q i
 
 @query(_quota_sql("mo", 0), views.MONET, _QUOTAS)
 def source_quotas(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.monet(spark, d)
+    rows = Workspace(spark, "quotas").put(views.monet(spark, d), "rows")
     validate.require_empty(selection.quota_violations(rows, QUOTAS), "candidates")
     return selection.source_quotas(rows, QUOTAS, SEED).select("source", "key", "rank")
 
@@ -290,7 +291,8 @@ _COUNTS = f"""fr AS (SELECT stratum, count(*) AS groups, {', '.join(f'(count(*)
 
 
 def _one_label(spark: SparkSession, d: str) -> DataFrame:
-    return views.one_label(views.samples(spark, d))
+    """Written once, as the operators look at it several times."""
+    return Workspace(spark, "one-label").put(views.one_label(views.samples(spark, d)), "rows")
 
 
 @query("SELECT provenance_group, label, stratum, n FROM gs", views.SAMPLES, views.ONE_LABEL, _GROUPS)
@@ -402,7 +404,9 @@ _FOUND = " UNION ALL ".join(f"SELECT {i} AS k, '{c}' AS check_name, * FROM ({_ov
 
 @query(f"SELECT check_name, value, holdout_id FROM fo JOIN (SELECT DISTINCT holdout_id, holdout_order FROM ho) USING (holdout_id) ORDER BY holdout_order, k, value LIMIT 1", *_LEAK, f"fo AS ({_FOUND})")
 def leak_first(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.first_leak(*views.training_and_holdouts(spark, d)).select("check_name", "value", "holdout_id")
+    ws = Workspace(spark, "leaks")
+    sides = [ws.put(df, name) for df, name in zip(views.training_and_holdouts(spark, d), ("training", "holdouts"), strict=True)]
+    return leakage.first_leak(*sides).select("check_name", "value", "holdout_id")
 
 
 _FIELDS = ["sample_id", "content_sha256", "provenance_group", "generator_family"]

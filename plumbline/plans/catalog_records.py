@@ -13,6 +13,7 @@ from plumbline.operators import leakage, metrics, selection, validate
 from plumbline.operators import page_images as pages
 from plumbline.plans import dialect, views
 from plumbline.plans.catalog import DIGITS, PAGE, SEED, query
+from plumbline.shipping import by_value
 from plumbline.session import Workspace
 from plumbline.sources import documents, shards
 from plumbline.sources.predictions import prediction_rules
@@ -333,3 +334,6 @@ def _failing_scorer():
 def score_with_errors(spark: SparkSession, d: str) -> DataFrame:
     """X3: rows that make the scorer fail cost only themselves."""
     return pages.score(table(spark, d, "embeddings", "vec_id"), ["vec_id"], lambda: _failing_scorer())
+
+
+by_value()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import content_digest
+from plumbline.shipping import by_value
 
 #: How often a download is tried; the pause doubles each time.
 TRIES = 5
@@ -73,3 +74,6 @@ def write_pictures(df: DataFrame, folder: str, path: str = "local_path", content
             os.replace(part, target)
 
     df.select(path, content).foreachPartition(write)
+
+
+by_value()
