@@ -42,7 +42,7 @@ def picture_name(name: str | None) -> str | None:
         last, stem = stem, stem.strip()
         for pattern in (_EXTENSION, _BEFORE, _AFTER):
             stem = pattern.sub("", stem, count=1) or stem
-    stem = _SEPARATORS.sub("-", stem).strip("-")
+    stem = _SEPARATORS.sub("-", stem).strip("-") or stem  # a stem of separators alone has no words to part
     return f"{folder}/{stem}"
 
 
