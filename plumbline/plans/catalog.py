@@ -255,8 +255,8 @@ def bounded_candidates(spark: SparkSession, d: str) -> DataFrame:
 def stream_topk(spark: SparkSession, d: str) -> DataFrame:
     """The candidates of ``bounded_candidates``, kept while files arrive; each delivered spelling counts."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table(spark, d, "monet_rows", "__key__", "source").schema)
-    prepare = lambda batch: batch.select(category("source").alias("source"), F.col("__key__").alias("key")).distinct()
-    return retained(spark, f"{d}/monet_row[s].parquet", schema, prepare, QUOTAS, SEED, Workspace(spark, "topk"), 40)
+    prepare = lambda batch: batch.select(category("source").alias("source"), F.col("__key__").alias("key"))
+    return retained(spark, f"{d}/monet_row[s].parquet", schema, prepare, QUOTAS, SEED, Workspace(spark, "topk"), 40, redelivered=True)
 
 
 @query("SELECT source, quota, coalesce(n, 0) AS available FROM qu LEFT JOIN (SELECT source, count(*) AS n FROM mo GROUP BY source) USING (source) WHERE coalesce(n, 0) < quota", views.MONET, f"qu(source, quota) AS (SELECT source, 100000::BIGINT FROM (VALUES {', '.join(f'({s!r})' for s in QUOTAS)}) v(source))")

@@ -21,10 +21,12 @@ from plumbline.session import Workspace
 _KEPT = "source string, key string"
 
 
-def retained(spark: SparkSession, path: str, schema: str, prepare: Callable[[DataFrame], DataFrame], quotas: dict[str, int], seed: str, workspace: Workspace, reserve: int = 0, files_per_batch: int = 1) -> DataFrame:
+def retained(spark: SparkSession, path: str, schema: str, prepare: Callable[[DataFrame], DataFrame], quotas: dict[str, int], seed: str, workspace: Workspace, reserve: int = 0, files_per_batch: int = 1, redelivered: bool = False) -> DataFrame:
     """The kept (source, key) after all shards below ``path``; ``prepare`` maps a batch to (source, key).
 
-    A key that occurs twice in a batch, or in it and among the kept, is an error.
+    A key that occurs twice in a batch, or in it and among the kept, is an error. With
+    ``redelivered``, shards may bring again what earlier ones brought: (source, key)
+    counts once, and a key in each source that it came with.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     jvm = spark._jvm
@@ -41,7 +43,10 @@ def retained(spark: SparkSession, path: str, schema: str, prepare: Callable[[Dat
         rows = prepare(batch).where("source is not null and key is not null").select("source", "key")
         if number > 0:
             rows = rows.unionByName(batch.sparkSession.read.schema(_KEPT).parquet(workspace.path(f"kept-{number - 1}")))
-        require_empty(duplicates(rows, ["key"]), "a key twice")
+        if redelivered:
+            rows = rows.distinct()
+        else:
+            require_empty(duplicates(rows, ["key"]), "a key twice")
         best = source_quotas(rows, quotas, seed, reserve).select("source", "key")
         best.write.mode("overwrite").parquet(workspace.path(f"new-{number}"))
         system, place = at(f"kept-{number}")

@@ -81,6 +81,32 @@ def test_a_repeated_key_is_an_error(spark, tmp_path):
         retained(spark, folder, "source string, key string", lambda b: b, {"s0": 1}, "s", Workspace(spark, "x4"))
 
 
+def test_shards_that_deliver_again(spark, tmp_path):
+    """Keys among the kept, keys cut away before, and keys of two sources, against one pass over the distinct rows."""
+    rows = [(f"s{i % 2}", f"k{i}") for i in range(60)]
+    folder = str(tmp_path / "in")
+    _shards(spark, folder, [rows[:30] + rows[:5], rows[20:] + [(None, "k1"), ("s0", None)], [("s1", k) for _, k in rows[:20]] + rows])
+    distinct = spark.createDataFrame([*rows, *(("s1", k) for s, k in rows[:20] if s == "s0")], "source string, key string")
+    wanted = selection.source_quotas(distinct, {"s0": 4, "s1": 40}, "s", 2)
+    kept = [tuple(r) for r in retained(spark, folder, "source string, key string", lambda b: b, {"s0": 4, "s1": 40}, "s", Workspace(spark, "x4"), 2, redelivered=True).collect()]
+    assert sorted(kept) == sorted((r["source"], r["key"]) for r in wanted.collect()) and len(kept) == 46
+
+
+def test_stream_topk_over_several_files(spark, tmp_path):
+    """A table whose files repeat each other's rows gives what its SQL gives."""
+    import duckdb
+
+    from plumbline.plans import catalog
+
+    raw = spark.read.parquet("/root/testdata/sf0.001/monet_rows.parquet")
+    for part in (raw, raw.where("batch_id > 4"), raw):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/monet_rows.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW monet_rows AS SELECT * FROM '{tmp_path}/monet_rows.parquet/*.parquet'")
+    found = sorted(tuple(r) for r in catalog.QUERIES["stream_topk"](spark, str(tmp_path)).collect())
+    assert found == sorted(con.execute(catalog.ORACLES["stream_topk"]).fetchall()) and found
+
+
 def test_nothing_else_imports_the_llm_package():
     root = Path(__file__).resolve().parents[1]
     own = [p for p in (root / "plumbline").rglob("*.py") if "llm" not in p.parts]
