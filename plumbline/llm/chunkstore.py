@@ -147,6 +147,15 @@ def cut(contents: DataFrame) -> DataFrame:
     return contents.select("kind", "content_id", "batch", "content").mapInArrow(_cut_batches, "kind string, content_id binary, batch bigint, bytes bigint, no int, chunk bigint, chunk_bytes int")
 
 
+def by_batch(df: DataFrame) -> DataFrame:
+    """The same rows, those of a batch together: a task then writes a file or two instead of one for each batch.
+
+    On a local disk each new file starts processes of its own to set its rights. Batches
+    larger than the advisory size are split, small ones share a task.
+    """
+    return df.hint("rebalance", "batch")
+
+
 class ChunkTable:
     """The persistent tables below ``root``, a folder that all executors share."""
 
@@ -167,6 +176,7 @@ class ChunkTable:
         return sorted(r[0] for r in self.rows("members").select("batch").distinct().collect())
 
     def _store(self, name: str, df: DataFrame) -> None:
+        """Replaces the partitions of the batches that ``df`` has, from tasks as ``by_batch`` forms them."""
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/{name}")
 
     def append(self, deliveries: DataFrame, marks: DataFrame | None = None) -> tuple[list[int], DataFrame]:
@@ -187,20 +197,21 @@ class ChunkTable:
         # Of history only what the batch mentions is kept: where the batch is small, its side is broadcast and history just read.
         named_here = lambda history, new, on: history.join(new.select(*on).distinct(), on, "left_semi")
         earlier = named_here(other("members").select("kind", "key", "first"), rows, ["kind", "key"])
-        mentioned = rows.select("kind", "key", F.col("batch").alias("first")).unionByName(earlier)
-        firsts = mentioned.groupBy("kind", "key").agg(F.min("first").alias("first"))
-        self._store("members", rows.select("kind", "key", "content_id", "batch").distinct().join(firsts, ["kind", "key"]))
+        # Both sides meet in one shuffle by record, which also serves the distinct and the window.
+        mentioned = rows.select("kind", "key", "content_id", "batch", F.col("batch").alias("first")).unionByName(earlier, allowMissingColumns=True).repartition("kind", "key").distinct()
+        firsts = mentioned.withColumn("first", F.min("first").over(Window.partitionBy("kind", "key"))).where("batch is not null")
+        self._store("members", by_batch(firsts.select("kind", "key", "content_id", "first", "batch")))
 
         contents = rows.where("content is not null").groupBy("kind", "content").agg(F.min("batch").alias("batch")).withColumn("content_id", content_id(F.col("content")))
         stored = named_here(other("chunks").where("no = 0").select("kind", "content_id"), rows.where("content_id is not null"), ["kind", "content_id"])
-        self._store("chunks", cut(contents.join(stored, ["kind", "content_id"], "left_anti")))
+        self._store("chunks", cut(by_batch(contents.join(stored, ["kind", "content_id"], "left_anti"))))
 
         if marks is not None:
-            known = marks.where("key is not null and batch is not null and bits is not null").select("kind", "key", "bits", F.col("batch").cast("bigint").alias("batch")).distinct()
-            first = self.rows("members").where(F.col("batch").isin(mine)).select("kind", "key", "first").distinct()
+            known = marks.where("key is not null and batch is not null and bits is not null").select("kind", "key", "bits", F.col("batch").cast("bigint").alias("batch"))
+            first = self.rows("members").where(F.col("batch").isin(mine)).groupBy("kind", "key").agg(F.min("first").alias("first"))
             numbers = known.groupBy("kind", "bits").agg(F.min("batch").alias("batch"))
-            self._store("blocks", numbers.join(other("marks").select("kind", "bits"), ["kind", "bits"], "left_anti").select("kind", "bits", F.explode(block_keys(F.col("bits"), BITS_APART)).alias("block_key"), "batch"))
-            self._store("marks", known.join(first, ["kind", "key"]))
+            self._store("blocks", by_batch(numbers.join(other("marks").select("kind", "bits"), ["kind", "bits"], "left_anti")).select("kind", "bits", F.explode(block_keys(F.col("bits"), BITS_APART)).alias("block_key"), "batch"))
+            self._store("marks", by_batch(known.repartition("kind", "key").distinct().join(first, ["kind", "key"])))
         return mine, contents
 
     def forget_deliveries(self) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm.bitblocks import agreeing, block_keys
-from plumbline.llm.chunkstore import ChunkTable, chunks_of
+from plumbline.llm.chunkstore import TABLES, ChunkTable, chunks_of
 from plumbline.llm.picture_names import picture_name
 from plumbline.session import Workspace
 
@@ -137,3 +137,20 @@ def test_batches_one_by_one_or_together(spark, tmp_path):
     for batch in (4, 5, 6):
         found |= rows(single.ingest(deliveries.where(f"batch = {batch}"), hashes.where(f"batch = {batch}"), exact=True, new=[4, 5, 6]))
     assert found == wanted and wanted
+
+
+def test_a_batch_lies_in_few_files(spark, chunks):
+    """However many tasks the shuffles have; repeated deliveries and marks still count once."""
+    data = [("k", f"r{i % 300}", f"content number {i % 200} " * 12, 1 + i % 6, 0) for i in range(600)]
+    marks = [("k", f"r{i % 300}", i % 250, 1 + i % 6) for i in range(600)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        chunks.append(spark.createDataFrame(data + data[:50], SCHEMA), spark.createDataFrame(marks + marks[:50], MARKS))
+    finally:
+        spark.conf.unset(coalesce)
+    for name in TABLES:
+        assert len(chunks.rows(name).inputFiles()) == len(chunks.rows(name).select("batch").distinct().collect()) > 1
+    first = {k: min(b for _, x, _, b, _ in data if x == k) for _, k, _, _, _ in data}
+    assert sorted((r["key"], r["first"], r["batch"]) for r in chunks.rows("members").collect()) == sorted((k, first[k], b) for k, b, _ in {(k, b, c) for _, k, c, b, _ in data})
+    assert sorted((r["key"], r["bits"], r["first"], r["batch"]) for r in chunks.rows("marks").collect()) == sorted({(k, n, first[k], b) for _, k, n, b in marks})
